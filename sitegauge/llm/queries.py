@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import near_duplicates
+from sitegauge.llm import language_crf, near_duplicates, template_residue
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_residue.pages_to_exclude(_table(spark, sf_dir, "page_fetch"), _table(spark, sf_dir, "page_report"))
+
+
+def p1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_residue.message_templates(_table(spark, sf_dir, "page_fetch"), _table(spark, sf_dir, "page_report"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_pages(_table(spark, sf_dir, "page_fetch"), _table(spark, sf_dir, "page_report"))
 
@@ -23,8 +31,17 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(_table(spark, sf_dir, "page_fetch"), _table(spark, sf_dir, "page_report"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.found(_table(spark, sf_dir, "page_fetch"), _table(spark, sf_dir, "page_locale"))
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "page_fetch")
+    return language_crf.label_pages(pages, language_crf.fit(pages, _table(spark, sf_dir, "page_locale"))).distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_classes)}
+    return {f.__name__: f for f in (p1_found, p1_templates, p2_found, p2_classes, p4_found, p4_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
