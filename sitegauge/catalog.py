@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitegauge.operators import nested
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -13,8 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.objects_table(table(spark, sf_dir, "page_report"))
+
+
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.members_table(table(spark, sf_dir, "page_report"))
+
+
+def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.schema_tables(table(spark, sf_dir, "page_report"))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in (p3_found, p3_members, p3_tables)}
 
 
 def oracle_sql() -> dict[str, str]:
