@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import language_crf, near_duplicates, template_residue
+from sitegauge.llm import format_copies, language_crf, leakage, near_duplicates, subjects, template_residue, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,8 +40,28 @@ def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.label_pages(pages, language_crf.fit(pages, _table(spark, sf_dir, "page_locale"))).distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_copies.copies(_table(spark, sf_dir, "report_feed"))
+
+
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_copies.records(_table(spark, sf_dir, "report_feed"))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode_texts(_table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.found(*(_table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_templates, p2_found, p2_classes, p4_found, p4_segments)}
+    return {f.__name__: f for f in (p1_found, p1_templates, p2_found, p2_classes, p4_found, p4_segments, p5_found, p5_records, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
