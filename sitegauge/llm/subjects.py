@@ -2,8 +2,8 @@
 
 From hand labels a term table is learned: how much each word or word pair speaks for each subject. It
 turns a document into features of three kinds: *terms* (mean evidence for each subject), *structure*
-(share of sentences whose evidence points to each subject, sentence count, share of lines that are
-lists, code or headings) and *source* (how far the labels of its source lean to each subject). A chain
+(share of sentences whose evidence points to each subject, and a ramp that tells a passing mention from
+a treated subject, sentence count, share of lines that are lists, code or headings) and *source* (how far the labels of its source lean to each subject). A chain
 of logistic models, one subject after another, sees these and the decisions before it, and so models
 which subjects occur together. Scores are calibrated on held-out documents and corrected for wrong and
 missing labels; a beam search decodes the likeliest combination, none being one of them.
@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 from sitegauge.functions.text import words_of
 
 #: Bounds and settings of the fit; beam width of decoding.
-TRAIN_DOCS, LEAST_DOCS, PURITY, EVIDENCE, BEAM = 12_000, 3, 0.5, 1.0, 6
+TRAIN_DOCS, LEAST_DOCS, PURITY, EVIDENCE, BEAM = 12_000, 3, 0.6, 1.0, 6
+#: Shares up to RAMP are passing mentions, shares from twice RAMP on are treatment.
+RAMP = 0.1
 _SENTENCE = re.compile(r"[.!?…]+(?=\s|$)|\n+")
+_DIGIT = re.compile(r"\d")
 _LIST = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s", re.M)
 
 
@@ -72,7 +75,8 @@ class Chain:
         n = max(1, len(sentences))
         lines = max(1, (text or "").count("\n") + 1)
         extra = [math.log1p(n), len(_LIST.findall(text or "")) / lines, (text or "").count("```") / lines, float((text or "").startswith("#"))]
-        return np.concatenate([told / n, np.log1p(total / n), self.sources.get(source or "", np.zeros(k)), extra])
+        share = told / n
+        return np.concatenate([share, np.clip(share / RAMP - 1, 0, 1), np.log1p(total / n), self.sources.get(source or "", np.zeros(k)), extra])
 
     def probabilities(self, x: np.ndarray, k: int, before: np.ndarray) -> np.ndarray:
         """Chance that subject ``k`` holds, for rows of features and the decisions before it."""
@@ -123,7 +127,7 @@ class _Sample:
         top = rate[np.arange(size), best]
         keep = (n >= LEAST_DOCS) & (top >= PURITY)
         weight = top * np.log1p(n)
-        return {t: (int(best[i]), float(weight[i])) for t, i in self.vocab.items() if keep[i]}
+        return {t: (int(best[i]), float(weight[i])) for t, i in self.vocab.items() if keep[i] and not _DIGIT.search(t)}
 
 
 def _source_table(docs: list[tuple[str | None, str | None, set[int]]], k: int) -> dict[str, np.ndarray]:
@@ -156,7 +160,7 @@ def train(docs: list[tuple[str | None, str | None, set[int]]], subjects: list[st
     if len(docs) < 2 or not k:
         return chain
     # features of each third come from terms learned on the rest, lest a document vouch for itself
-    x = np.zeros((len(docs), 3 * k + 4))
+    x = np.zeros((len(docs), 4 * k + 4))
     sample = _Sample(docs, k)
     y = sample.y
     for fold in range(3):
