@@ -5,31 +5,338 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitegauge.operators import nested
+from sitegauge import oracles
+from sitegauge.functions import urls
+from sitegauge.operators import checks, crawl, dom, export, nested, report, rollups
+from sitegauge.sources import sitemaps
+from sitegauge.streaming import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.objects_table(table(spark, sf_dir, "page_report"))
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
 
 
-def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.members_table(table(spark, sf_dir, "page_report"))
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return report.latest_pages(table(spark, d, "page_fetch"))
 
 
-def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.schema_tables(table(spark, sf_dir, "page_report"))
+def _inputs(spark: SparkSession, d: str) -> DataFrame:
+    return report.with_inputs(_pages(spark, d), table(spark, d, "site_resources"))
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "page_report").dropDuplicates(["report_id"])
+
+
+def _narrow(df: DataFrame) -> DataFrame:
+    return df.select("page_id", "check", "status")
+
+
+@query
+def score_page(spark, d):
+    return report.audit(_inputs(spark, d)).withColumn("band", report.score_band(F.col("score")))
+
+
+@query
+def score_slice(spark, d):
+    """Score over the title, https and h1 rules alone."""
+    rules = [checks.meta_tags()[0], *(checks.technical()[i] for i in (0, 5, 6))]
+    told = _inputs(spark, d).filter("facts is not null").select("page_id", F.flatten(F.array(*(r["signals"] for r in rules))).alias("s"))
+    told = told.select("page_id", *checks.counts(F.col("s")))
+    return told.select("page_id", checks.score(F.col("passed"), F.col("warnings"), F.col("failed")).alias("score"))
+
+
+def _category(name: str) -> Query:
+    return lambda spark, d: _narrow(checks.checks(_inputs(spark, d), (name,)))
+
+
+for _name, _category_name in {
+    "meta_checks": "meta", "og_checks": "openGraph", "twitter_checks": "twitter", "robots_checks": "robots", "technical_checks": "technical",
+    "performance_checks": "performance", "security_checks": "security", "accessibility_checks": "accessibility", "analytics_checks": "analytics", "caching_checks": "caching",
+}.items():
+    _QUERIES[_name] = _category(_category_name)
+
+
+@query
+def category_pivot(spark, d):
+    told = checks.checks(_inputs(spark, d))
+    return told.groupBy("category").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("pass", "warn", "fail")))
+
+
+@query
+def heading_counts(spark, d):
+    f = dom.page_facts(_pages(spark, d).select("page_id", "html")).filter("facts is not null")
+    return f.select("page_id", F.size("facts.h1_texts").cast("bigint").alias("h1"), *(F.col(f"facts.{h}").cast("bigint").alias(h) for h in ("h2", "h3", "h4", "h5", "h6")))
+
+
+@query
+def element_counts(spark, d):
+    return dom.nodes(_pages(spark, d)).groupBy("tag").agg(F.count("*").alias("elements"))
+
+
+@query
+def links_extract(spark, d):
+    f = dom.page_facts(_pages(spark, d).select("page_id", F.coalesce("final_url", "url").alias("final_url"), "html"))
+    return report.page_links(f).select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "href", "link", "kind")
+
+
+@query
+def link_counts(spark, d):
+    i = _inputs(spark, d).filter("facts is not null")
+    return i.select("page_id", *(F.col(c).cast("bigint").alias(c) for c in ("total_links", "internal_links", "external_links")))
+
+
+@query
+def link_set(spark, d):
+    f = dom.page_facts(_pages(spark, d).select("page_id", F.coalesce("final_url", "url").alias("final_url"), "html"))
+    return crawl.link_set(f)
+
+
+@query
+def page_size(spark, d):
+    mb = F.octet_length(F.encode("html", "UTF-8")).cast("bigint")
+    cents = F.floor((200 * mb + (1 << 20)) / (1 << 21)).cast("bigint")
+    return _pages(spark, d).filter("html <> ''").select("page_id", mb.alias("bytes"), cents.alias("mb_hundredths"))
+
+
+@query
+def third_party_hosts(spark, d):
+    f = dom.page_facts(_pages(spark, d).select("page_id", F.coalesce("final_url", "url").alias("final_url"), "html"))
+    return f.filter("facts is not null").select("page_id", F.explode(checks.third_party_hosts()).alias("host"))
+
+
+@query
+def json_ld_pages(spark, d):
+    f = dom.page_facts(_pages(spark, d).select("page_id", "html")).filter("facts is not null")
+    s = f.select("page_id", report.json_ld_summary("facts.json_ld").alias("s"))
+    return s.select("page_id", "s.count", "s.valid", F.array_join("s.errors", "; ").alias("errors"), F.array_join("s.types", ",").alias("types"))
+
+
+@query
+def page_report_flat(spark, d):
+    r = report.page_report(_inputs(spark, d))
+    return r.select("page_id", "url", "h1_count", "has_single_h1", "meta.title", "meta.description", "meta.canonical", F.col("json_ld.valid").alias("json_ld_valid"), "status", F.array_join("issues", "; ").alias("issues"))
+
+
+@query
+def site_report(spark, d):
+    r = report.page_report(_inputs(spark, d))
+    return report.with_site_sitemap(r, sitemaps.discovered(table(spark, d, "site_resources")).withColumnRenamed("sitemap", "sitemap_url")).select("page_id", "url", F.col("sitemap.url").alias("sitemap_url"), "status")
+
+
+@query
+def url_canonical(spark, d):
+    return table(spark, d, "page_fetch").select("url", urls.canonical(F.col("url")).alias("canonical")).distinct()
+
+
+@query
+def url_canonical_links(spark, d):
+    g = table(spark, d, "link_graph").select("src", "dst").distinct()
+    return g.select("src", "dst", urls.canonical(F.col("dst"), F.col("src")).alias("canonical"))
+
+
+@query
+def url_crawlable(spark, d):
+    g = table(spark, d, "link_graph").select("src", "dst").distinct()
+    return g.select("src", "dst", urls.crawlable(F.col("dst"), F.col("src")).alias("crawlable"))
+
+
+@query
+def url_internal_external(spark, d):
+    g = table(spark, d, "link_graph").filter("dst is not null")
+    return g.select(urls.link_kind(F.col("dst"), F.col("src")).alias("kind")).groupBy("kind").agg(F.count("*").alias("links"))
+
+
+@query
+def url_host_safe(spark, d):
+    return table(spark, d, "page_fetch").select("url", urls.safe_host(F.col("url")).alias("safe"), urls.inner_page(F.col("url")).alias("inner_page"), urls.file_stem(F.col("url")).alias("stem")).distinct()
+
+
+@query
+def url_dedup(spark, d):
+    p = table(spark, d, "page_fetch").select("page_id", urls.canonical(F.col("url")).alias("canonical")).distinct()
+    return p.groupBy("canonical").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
+
+
+@query
+def locale_detect(spark, d):
+    return table(spark, d, "page_fetch").select("url", rollups.locale_of(F.col("url")).alias("l")).distinct().select("url", "l.*")
+
+
+@query
+def locale_rollup(spark, d):
+    return rollups.by_locale(_reports(spark, d)).select("locale", "region", "display_name", "pages", "pass", "warn", "fail", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def site_stats(spark, d):
+    return rollups.status_counts(_reports(spark, d))
+
+
+@query
+def page_issues(spark, d):
+    return _reports(spark, d).select("report_id", F.array_join(report.page_issues(), "; ").alias("issues"))
+
+
+@query
+def page_status(spark, d):
+    return _reports(spark, d).withColumn("found", report.page_issues()).select("report_id", report.page_status(F.col("found")).alias("status"))
+
+
+@query
+def filter_failed(spark, d):
+    return rollups.filtered(_reports(spark, d), "failed").select("report_id")
+
+
+@query
+def filter_missing_h1(spark, d):
+    return rollups.filtered(_reports(spark, d), "missingH1").select("report_id")
+
+
+@query
+def filter_missing_description(spark, d):
+    return rollups.filtered(_reports(spark, d), "missingDescription").select("report_id")
+
+
+@query
+def filter_locale(spark, d):
+    return rollups.filtered(_reports(spark, d), "all", "en-GB").select("report_id")
+
+
+@query
+def card_flags(spark, d):
+    flags = rollups.card_flags()
+    return _reports(spark, d).select("report_id", flags["indexable"].alias("indexable"), flags["no_twitter"].alias("no_twitter"), flags["more_issues"].cast("bigint").alias("more_issues"), rollups.badge(F.col("status"))["icon"].alias("icon"))
+
+
+@query
+def csv_lines(spark, d):
+    return export.crawl_lines(_reports(spark, d))
+
+
+@query
+def print_lines(spark, d):
+    return export.report_lines(_reports(spark, d)).select("report_id", F.col("line_no").cast("bigint").alias("line_no"), "text", "style")
+
+
+@query
+def page_csv_lines(spark, d):
+    return export.page_lines(checks.checks(_inputs(spark, d)))
+
+
+@query
+def sitemap_urls(spark, d):
+    return sitemaps.parsed(table(spark, d, "site_resources")).select("url", "is_index", "loc", F.col("position").cast("bigint").alias("position"))
+
+
+@query
+def robots_sitemaps(spark, d):
+    return sitemaps.robots_sitemaps(table(spark, d, "site_resources")).select("site_host", F.col("ordinal").cast("bigint").alias("ordinal"), "sitemap")
+
+
+@query
+def sitemap_discovery(spark, d):
+    return sitemaps.discovered(table(spark, d, "site_resources"))
+
+
+@query
+def site_probe(spark, d):
+    return sitemaps.site_probe(table(spark, d, "site_resources"))
+
+
+def _sitemap_pages(spark, d):
+    r = table(spark, d, "site_resources")
+    roots = sitemaps.discovered(r).select(F.concat(F.lit("https://"), "site_host", F.lit("/")).alias("base"), "sitemap")
+    return sitemaps.expand(roots, r)
+
+
+@query
+def sitemap_expand(spark, d):
+    return _sitemap_pages(spark, d).select("base", "sitemap", "loc", "position")
+
+
+def _fetched(spark, d):
+    return crawl.html_pages(table(spark, d, "page_fetch")).select(urls.canonical(F.col("url")).alias("url")).distinct()
+
+
+def _crawl(spark, d):
+    fetched = _fetched(spark, d)
+    root = fetched.groupBy(urls.bare_host(urls.host(F.col("url"))).alias("site")).agg(F.min("url").alias("url"))
+    seeds = root.select("site", "url", F.lit(0).cast("bigint").alias("position"))
+    return crawl.breadth_first(seeds, crawl.canonical_edges(table(spark, d, "link_graph")), fetched)
+
+
+@query
+def crawl_bfs(spark, d):
+    return _crawl(spark, d)
+
+
+@query
+def crawl_sitemap_first(spark, d):
+    return crawl.sitemap_first(_sitemap_pages(spark, d), _fetched(spark, d))
+
+
+@query
+def crawl_statistics(spark, d):
+    pages = table(spark, d, "page_fetch").select("page_id", "url", "status_code").distinct()
+    return crawl.crawl_statistics(_crawl(spark, d), _sitemap_pages(spark, d), pages)
+
+
+@query
+def fetch_gate(spark, d):
+    p = table(spark, d, "page_fetch")
+    kept = crawl.html_pages(p).select("page_id", F.lit("html").alias("gate")).unionByName(crawl.rendered_pages(p).select("page_id", F.lit("rendered").alias("gate")))
+    return kept.distinct()
+
+
+@query
+def log_levels(spark, d):
+    return logs.events(table(spark, d, "crawl_log")).groupBy("level", "icon").agg(F.count("*").alias("events"))
+
+
+@query
+def log_events(spark, d):
+    return logs.events(table(spark, d, "crawl_log")).select("log_id", "level", "message").distinct()
+
+
+@query
+def log_frames(spark, d):
+    return logs.frames(logs.events(table(spark, d, "crawl_log"))).distinct()
+
+
+@query
+def log_progress(spark, d):
+    return logs.progress(table(spark, d, "crawl_log")).select(F.col("analysed").cast("bigint").alias("analysed"), "ts")
+
+
+@query
+def p3_found(spark, d):
+    return nested.objects_table(table(spark, d, "page_report"))
+
+
+@query
+def p3_members(spark, d):
+    return nested.members_table(table(spark, d, "page_report"))
+
+
+@query
+def p3_tables(spark, d):
+    return nested.schema_tables(table(spark, d, "page_report"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_members, p3_tables)}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.sql().items() if k in _QUERIES}

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitegauge.functions import urls
 from sitegauge.functions.text import blank_to_null
@@ -19,6 +20,16 @@ LIVENESS_LIMIT = 20
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 
 
+SUMMARY = T.StructType(
+    [
+        T.StructField("count", T.IntegerType()),
+        T.StructField("valid", T.BooleanType()),
+        T.StructField("errors", T.ArrayType(T.StringType())),
+        T.StructField("types", T.ArrayType(T.StringType())),
+    ]
+)
+
+
 def latest_pages(pages: DataFrame) -> DataFrame:
     """One row per page_id: repeated rows collapse, of differing ones the latest fetch stays."""
     others = [c for c in pages.columns if c != "page_id"]
@@ -94,7 +105,7 @@ def audit(inputs: DataFrame, categories: tuple[str, ...] = tuple(C.CATEGORIES))
     return told.withColumn("score", C.score(F.col("passed"), F.col("warnings"), F.col("failed")))
 
 
-@F.pandas_udf("count int, valid boolean, errors array<string>, types array<string>")
+@F.pandas_udf(SUMMARY)
 def json_ld_summary(scripts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Validity and types of a page's structured-data scripts.
 

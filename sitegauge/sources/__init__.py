@@ -1 +1 @@
-"""See the package README."""
+"""Sources: fetched site resources, sitemaps, and an optional live reader."""

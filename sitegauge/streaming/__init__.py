@@ -1 +1 @@
-"""See the package README."""
+"""Streaming view of crawl progress."""
