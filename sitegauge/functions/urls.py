@@ -46,25 +46,31 @@ def bare_host(name: Column) -> Column:
     return F.regexp_replace(name, "^www\\.", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def without_dots(p: Column) -> Column:
     """A path with its ``.`` and ``..`` segments carried out."""
-    parts = F.split(p, "/")
-    last = F.element_at(parts, -1)
-    kept = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when(x == ".", acc)
-        .when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1))))
-        .otherwise(F.array_append(acc, x)),
-    )
-    joined = F.array_join(kept, "/")
-    return F.when(p.contains("/."), F.when(last.isin(".", ".."), F.concat(F.regexp_replace(joined, "/$", ""), F.lit("/"))).otherwise(joined)).otherwise(p)
 
+    def carried(x: Column) -> Column:
+        kept = F.aggregate(
+            F.split(x, "/"),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == ".", acc)
+            .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1))))
+            .otherwise(F.array_append(acc, s)),
+        )
+        joined = F.array_join(kept, "/")
+        ended = F.concat(F.regexp_replace(joined, "/$", ""), F.lit("/"))
+        return F.when(~x.contains("/."), x).when(x.rlike(r"/\.\.?$"), ended).otherwise(joined)
 
-def resolve(href: Column, base: Column) -> Column:
-    """``href`` as an absolute URL against an absolute ``base``; null where either is null."""
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
+    return let(p, carried)
+
+
+def _resolved(href: Column, base: Column) -> Column:
+    folder = F.regexp_replace(F.regexp_replace(path(base), "[^/]*$", ""), "^$", "/")
     tail = F.regexp_extract(href, r"([?#].*)$", 1)
     plain = F.regexp_replace(href, r"[?#].*$", "")
     whole_base = F.regexp_replace(base, "#.*$", "")
@@ -79,6 +85,11 @@ def resolve(href: Column, base: Column) -> Column:
     )
 
 
+def resolve(href: Column, base: Column) -> Column:
+    """``href`` as an absolute URL against an absolute ``base``; null where either is null."""
+    return let(F.struct(href.alias("h"), base.alias("b")), lambda v: _resolved(v["h"], v["b"]))
+
+
 def _encoded(p: Column) -> Column:
     """Percent-encode what a browser would: everything beyond printable ASCII and a few marks."""
     each = F.transform(
@@ -94,27 +105,35 @@ def canonical(url: Column, base: Column | None = None, force_https: bool = True)
     Null, blank, fragment-only and non-http(s) URLs give null. Without ``base`` only absolute URLs count.
     Applying it twice changes nothing.
     """
-    text = blank_to_null(js_trim(F.regexp_extract(js_trim(url), "^[^#]*", 0)))
-    refused = F.lower(text).rlike("^(?:" + "|".join(NOT_CRAWLED) + ")")
-    text = F.regexp_replace(text, "^([A-Za-z][A-Za-z0-9+.-]*:)/{3,}", "$1//")
-    full = text if base is None else resolve(text, base)
-    name = F.lower(F.regexp_replace(F.regexp_extract(full, _URL, 2), r"^.*@", ""))
-    name = F.regexp_replace(name, r":(?:80|443)?$", "")
-    if base is not None:
-        own = host(base)
-        name = F.when(bare_host(name) == bare_host(own), own).otherwise(name)
-    p = F.regexp_replace(without_dots(path(full)), "/+", "/")
-    p = F.regexp_replace(p, DEFAULT_DOCUMENT, "/")
-    p = F.when(p.isin("", "/"), "/").otherwise(F.regexp_replace(p, "/$", ""))
-    kind = F.lit("https") if force_https else scheme(full)
-    return F.when(~refused & (name != "") & full.rlike(_URL), F.concat(kind, F.lit("://"), name, _encoded(p)))
+    refused = "^(?:" + "|".join(NOT_CRAWLED) + ")"
+    text = let(
+        js_trim(F.regexp_extract(js_trim(url), "^[^#]*", 0)),
+        lambda t: F.when((t != "") & ~F.lower(t).rlike(refused), F.regexp_replace(t, "^([A-Za-z][A-Za-z0-9+.-]*:)/{3,}", "$1//")),
+    )
+    if base is None:
+        return let(text, lambda u: _clean(u, None, force_https))
+    return let(F.struct(resolve(text, base).alias("u"), host(base).alias("own")), lambda v: _clean(v["u"], v["own"], force_https))
+
+
+def _clean(url: Column, own: Column | None, force_https: bool) -> Column:
+    """The clean form of an absolute URL; ``own`` is the host whose www form it takes."""
+    name = F.regexp_replace(F.lower(F.regexp_extract(url, _URL, 2)), r"^.*@|:(?:80|443)?$", "")
+    if own is not None:
+        name = let(name, lambda n: F.when(bare_host(n) == bare_host(own), own).otherwise(n))
+    p = F.regexp_replace(F.regexp_replace(without_dots(F.regexp_extract(url, _URL, 3)), "/+", "/"), DEFAULT_DOCUMENT, "/")
+    kind = F.lit("https") if force_https else scheme(url)
+    whole = let(
+        F.struct(name.alias("n"), F.regexp_replace(p, "/$", "").alias("p")),
+        lambda v: F.when(v["n"] != "", F.concat(kind, F.lit("://"), v["n"], F.when(v["p"] == "", "/").otherwise(_encoded(v["p"])))),
+    )
+    return F.when(url.rlike(_URL), whole)
 
 
 def crawlable(url: Column, base: Column) -> Column:
     """Whether a URL, made canonical, is a page of the base's site; null URLs aren't."""
-    c = canonical(url, base)
-    skipped = F.lower(path(c)).rlike(r"\.(?:" + "|".join(SKIPPED_TYPES) + ")$")
-    return F.coalesce((bare_host(host(c)) == bare_host(host(base))) & ~skipped, F.lit(False))
+    skipped = r"\.(?:" + "|".join(SKIPPED_TYPES) + ")$"
+    fits = let(canonical(url, base), lambda c: (bare_host(host(c)) == bare_host(host(base))) & ~F.lower(path(c)).rlike(skipped))
+    return F.coalesce(fits, F.lit(False))
 
 
 def safe_host(url: Column) -> Column:

@@ -36,8 +36,8 @@ def link_set(facts: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFram
 
 def canonical_edges(graph: DataFrame) -> DataFrame:
     """(site, src, dst, ordinal): distinct links within a site between canonical URLs, first ordinal kept."""
-    rows = graph.select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst"), F.col("src")).alias("dst"), "ordinal", F.col("dst").alias("raw"), F.col("src").alias("own"))
-    rows = rows.filter(urls.crawlable(F.col("raw"), F.col("own")))
+    rows = graph.filter(urls.crawlable(F.col("dst"), F.col("src")))
+    rows = rows.select(urls.canonical(F.col("src")).alias("src"), urls.canonical(F.col("dst"), F.col("src")).alias("dst"), "ordinal")
     site = urls.bare_host(urls.host(F.col("src")))
     return rows.groupBy(site.alias("site"), "src", "dst").agg(F.min("ordinal").alias("ordinal"))
 

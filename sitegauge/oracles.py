@@ -72,7 +72,7 @@ _ISSUES = """list_filter([case when h1_count = 0 then 'missing h1' end, case whe
  case when coalesce(meta.title, '') = '' then 'missing title' end, case when coalesce(meta.description, '') = '' then 'missing description' end,
  case when contains(lower(coalesce(meta.robots, '')), 'noindex') then 'noindex' end, case when coalesce(meta.canonical, '') = '' then 'missing canonical' end,
  case when not coalesce(json_ld.present, false) then 'missing structured data' end,
- case when coalesce(json_ld.present, false) and not coalesce(json_ld.valid, false) then 'invalid structured data: ' || coalesce(array_to_string(json_ld.errors, ', '), '') end], x -> x is not null)"""
+ case when coalesce(json_ld.present, false) and not coalesce(json_ld.valid, false) then 'invalid structured data: ' || coalesce(array_to_string(json_ld.errors, ', '), '') end], lambda x: x is not null)"""
 _CSV = lambda e: f"coalesce(case when regexp_matches({e}, '[,\"\\n]') then '\"' || replace({e}, '\"', '\"\"') || '\"' else {e} end, '')"
 _LOCALE = [("en-au", "en-AU", "AU", "Australia"), ("en-gb", "en-GB", "GB", "United Kingdom")]
 
@@ -94,20 +94,20 @@ def sql() -> dict[str, str]:
     modern = r"len(regexp_extract_all(doc, '(?i)<img src=\"[^\"]*\.(?:webp|avif)'))".replace('\\"', '"')
     lazy = r"len(regexp_extract_all(doc, '(?i)<img[^>]* loading=\"lazy\"'))".replace('\\"', '"')
     scripts = r"regexp_extract_all(raw, '(?is)<script([^>]*)>', 1)"
-    blocking = f"len(list_filter({scripts}, x -> contains(x, 'src=') and not contains(x, 'async') and not contains(x, 'defer')))"
+    blocking = f"len(list_filter({scripts}, lambda x: contains(x, 'src=') and not contains(x, 'async') and not contains(x, 'defer')))"
     styles = r"len(regexp_extract_all(doc, '(?i)<link rel=\"stylesheet\"'))".replace('\\"', '"')
     body = r"array_to_string(regexp_extract_all(raw, '(?is)<script[^>]*>.*?</script'), ' ')"
     https = "final_url like 'https://%'"
     csp, frame, sniff, hsts = map(_header, ("content-security-policy", "x-frame-options", "x-content-type-options", "strict-transport-security"))
-    cc, cookies = _header("cache-control"), "list_filter(coalesce(headers['set-cookie'], []), c -> c <> '')"
+    cc, cookies = _header("cache-control"), "list_filter(coalesce(headers['set-cookie'], []), lambda c: c <> '')"
     levels = r"regexp_extract_all(doc, '(?i)<h([1-6])[\s>]', 1)"
-    jumps = f"(len(list_filter(range(2, len({levels}) + 1), i -> {levels}[i]::int > {levels}[i - 1]::int + 1)) + case when {_H1} > 1 then 1 else 0 end)"
-    alt_missing = r"len(list_filter(regexp_extract_all(doc, '(?i)<img\s[^>]*>'), x -> not regexp_matches(x, ' alt=')))"
+    jumps = f"(len(list_filter(range(2, len({levels}) + 1), lambda i: {levels}[i]::int > {levels}[i - 1]::int + 1)) + case when {_H1} > 1 then 1 else 0 end)"
+    alt_missing = r"len(list_filter(regexp_extract_all(doc, '(?i)<img\s[^>]*>'), lambda x: not regexp_matches(x, ' alt=')))"
     alt_empty = r"len(regexp_extract_all(doc, '(?i)<img\s[^>]* alt=\"\s*\"'))".replace('\\"', '"')
     title, desc = _sized(_TITLE, 30, 60), _sized(_meta("description"), 120, 160)
     href = r"regexp_extract_all(doc, '(?i)<a\s[^>]*href=\"([^\"]*)\"', 1)".replace('\\"', '"')
     resolved = "case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then href when href like '/%' then regexp_extract(final_url, '^((?i:https?)://[^/?#]*)', 1) || href end"
-    links = f"links as (select page_id, final_url, unnest({href}) href, unnest(range(len({href}))) at from h), l as (select page_id, row_number() over (partition by page_id order by at) ordinal, href, {resolved} link, case when {_HOST(resolved)} = {_HOST('final_url')} then 'internal' else 'external' end kind from links where href <> '' and not regexp_matches(href, '^(#|javascript:|mailto:)'))"
+    links = f"links as (select page_id, final_url, unnest({href}) href, unnest(range(len({href}))) pos from h), l as (select page_id, row_number() over (partition by page_id order by pos) ordinal, href, {resolved} link, case when {_HOST(resolved)} = {_HOST('final_url')} then 'internal' else 'external' end kind from links where href <> '' and not regexp_matches(href, '^(#|javascript:|mailto:)'))"
     slice_t = f"({title})"
     out = {
         "score_slice": f"""with {_PF}, s as (select page_id, {slice_t} t, {https} ok, {_H1} n from h), c as (select page_id,
@@ -135,14 +135,14 @@ def sql() -> dict[str, str]:
             "strictTransportSecurity": f"case when not {https} then 'warn' when contains({hsts}, 'max-age') then 'pass' else 'warn' end", "referrerPolicy": _there(_header("referrer-policy")),
             "permissionsPolicy": _there(f"coalesce({_header('permissions-policy')}, {_header('feature-policy')})"), "sslCertificate": f"case when not {https} then 'fail' else 'warn' end",
             "mixedContent": f"""case when not {https} then 'warn' when regexp_matches(raw, '(?i)<(img|script|iframe)[^>]* src="http://') then 'fail' else 'pass' end""",
-            "cookieSecurity": f"case when len({cookies}) = 0 then 'warn' when len(list_filter({cookies}, c -> not (contains(lower(c), 'secure') and contains(lower(c), 'httponly') and contains(lower(c), 'samesite')))) > 0 then 'warn' else 'pass' end"}),
+            "cookieSecurity": f"case when len({cookies}) = 0 then 'warn' when len(list_filter({cookies}, lambda c: not (contains(lower(c), 'secure') and contains(lower(c), 'httponly') and contains(lower(c), 'samesite')))) > 0 then 'warn' else 'pass' end"}),
         "accessibility_checks": _checks({
             "altText": f"case when {img} > 0 and {alt_missing} + {alt_empty} = 0 then 'pass' when {alt_missing} > 0 then 'fail' else 'warn' end", "formLabels": "'pass'", "ariaAttributes": "'pass'",
             "headingHierarchy": f"case when {jumps} > 0 then 'warn' when len({levels}) > 0 then 'pass' else 'warn' end", "semanticHtml": "'pass'", "keyboardNavigation": "'pass'", "focusIndicators": "'pass'"}),
         "analytics_checks": _checks({
             "googleAnalytics": f"case when regexp_matches({body}, 'googletagmanager.com/gtag|google-analytics.com|ga\\(|gtag\\(|GoogleAnalyticsObject') then 'pass' else 'warn' end",
             "googleTagManager": f"case when regexp_matches({body}, 'googletagmanager.com/gtm.js|dataLayer|GTM-') then 'pass' else 'warn' end", "facebookPixel": f"case when regexp_matches({body}, 'fbq\\(|facebook.net') then 'pass' else 'warn' end",
-            "trackingConsent": f"""case when not regexp_matches({body}, 'google-analytics|googletagmanager|facebook.net|gtag\\(|fbq\\(|dataLayer') then 'pass' when regexp_matches(doc, '(?i)(class|id)="[^"]*(cookie|consent|gdpr|privacy)') then 'pass' else 'warn' end"""}),
+            "trackingConsent": f"""case when not regexp_matches({body}, 'google-analytics|googletagmanager|facebook.net|gtag\\(|fbq\\(|dataLayer') then 'pass' when regexp_matches(doc, '(?i)(class|id)="[^"]*(cookie|consent|gdpr|privacy)') or (contains({body}, 'cookie') and regexp_matches({body}, 'consent|accept')) then 'pass' else 'warn' end"""}),
         "caching_checks": _checks({
             "cacheControl": f"case when {cc} is null or contains({cc}, 'no-cache') or contains({cc}, 'no-store') or not contains({cc}, 'max-age') then 'warn' else 'pass' end", "etag": _there(_header("etag")),
             "cdnUsage": f"case when regexp_matches(lower(coalesce({_header('server')}, '')), 'cloudflare|cloudfront|fastly|keycdn|cdn|akamai') then 'pass' else 'warn' end", "staticAssetCaching": "'pass'"}),
@@ -163,7 +163,7 @@ def sql() -> dict[str, str]:
  count(*) filter (status = 'warn') warn, count(*) filter (status = 'fail') fail, (case {_locale(2, 'US')} when 'US' then 1 when 'AU' then 2 else 3 end)::bigint as rank from r group by all""",
         "site_stats": f"with {_R} select count(*) pages, count(*) filter (status = 'pass') pass, count(*) filter (status = 'warn') warn, count(*) filter (status = 'fail') fail from r",
         "page_issues": f"with {_R} select report_id, array_to_string({_ISSUES}, '; ') issues from r",
-        "page_status": f"with {_R}, n as (select report_id, len(list_filter({_ISSUES}, x -> not contains(lower(x), 'twitter:') and not contains(lower(x), 'missing twitter'))) n from r) select report_id, case when n = 0 then 'pass' when n <= 2 then 'warn' else 'fail' end status from n",
+        "page_status": f"with {_R}, n as (select report_id, len(list_filter({_ISSUES}, lambda x: not contains(lower(x), 'twitter:') and not contains(lower(x), 'missing twitter'))) n from r) select report_id, case when n = 0 then 'pass' when n <= 2 then 'warn' else 'fail' end status from n",
         "filter_failed": f"with {_R} select report_id from r where status = 'fail'",
         "filter_missing_h1": f"with {_R} select report_id from r where not coalesce(has_single_h1, false)",
         "filter_missing_description": f"with {_R} select report_id from r where coalesce(meta.description, '') = ''",
@@ -174,8 +174,8 @@ def sql() -> dict[str, str]:
         + ", ".join(_CSV(c) for c in ("meta.title", "meta.description", "meta.canonical", "og.title", "og.description", "og.image", "twitter.card"))
         + f""", case when json_ld.present then 'Yes' else 'No' end, case when json_ld.valid then 'Yes' else 'No' end, {_CSV("array_to_string(issues, '; ')")}) line from r""",
         "print_lines": f"""with {_R}, t as (select report_id, list_filter([{{'text': url, 'style': 'heading'}}, {{'text': upper(status), 'style': status}}, {{'text': meta.title, 'style': 'text'}},
- {{'text': case when length(meta.description) > 100 then substring(meta.description, 1, 100) || '...' else meta.description end, 'style': 'text'}}] || list_transform(coalesce(issues, [])[1:3], x -> {{'text': x, 'style': 'issue'}}), l -> l.text is not null) ls from r)
- select report_id, unnest(range(len(ls)))::bigint line_no, unnest(list_transform(ls, l -> l.text)) as text, unnest(list_transform(ls, l -> l.style)) as style from t""",
+ {{'text': case when length(meta.description) > 100 then substring(meta.description, 1, 100) || '...' else meta.description end, 'style': 'text'}}] || list_transform(coalesce(issues, [])[1:3], lambda x: {{'text': x, 'style': 'issue'}}), lambda l: l.text is not null) ls from r)
+ select report_id, unnest(range(len(ls)))::bigint line_no, unnest(list_transform(ls, lambda l: l.text)) as text, unnest(list_transform(ls, lambda l: l.style)) as style from t""",
         "robots_sitemaps": f"with {_LIVE}, {_LINES} select site_host, ordinal::bigint ordinal, sitemap from lines where sitemap <> ''",
         "sitemap_discovery": f"""with {_LIVE}, {_LINES}, ok as (select distinct url from site_resources where status = 200), k as (select {_HOST('url')} site_host,
  list_position(['/sitemap.xml', '/sitemap_index.xml', '/sitemap-index.xml', '/sitemaps.xml', '/sitemap1.xml', '/sitemap/sitemap.xml'], {_PATH('url')}) as rank, url sitemap from ok),
