@@ -122,10 +122,11 @@ class _Sample:
         term, doc, size = self.term[on], self.doc[on], len(self.vocab)
         n = np.bincount(term, minlength=size)
         by = np.stack([np.bincount(term, self.y[doc, s], size) for s in range(self.y.shape[1])], 1)
-        rate = (by + 2 * self.y[part].mean(0)) / (n + 2)[:, None]
+        base = self.y[part].mean(0)
+        rate = (by + 2 * base) / (n + 2)[:, None]
         best = rate.argmax(1)
         top = rate[np.arange(size), best]
-        keep = (n >= LEAST_DOCS) & (top >= PURITY)
+        keep = (n >= LEAST_DOCS) & (top >= np.maximum(PURITY, (1 + base[best]) / 2))
         weight = top * np.log1p(n)
         return {t: (int(best[i]), float(weight[i])) for t, i in self.vocab.items() if keep[i] and not _DIGIT.search(t)}
 
@@ -163,21 +164,24 @@ def train(docs: list[tuple[str | None, str | None, set[int]]], subjects: list[st
     x = np.zeros((len(docs), 4 * k + 4))
     sample = _Sample(docs, k)
     y = sample.y
+    turn = np.random.default_rng(0).permutation(len(docs))
     for fold in range(3):
-        rest = np.arange(len(docs)) % 3 != fold
+        rest = turn % 3 != fold
         part = Chain(subjects, sample.terms(rest), _source_table([d for d, r in zip(docs, rest, strict=True) if r], k))
-        for i in range(fold, len(docs), 3):
+        for i in np.flatnonzero(~rest):
             x[i] = part.features(docs[i][0], docs[i][1])
     chain.terms, chain.sources = sample.terms(np.ones(len(docs), bool)), _source_table(docs, k)
     chain.mean, chain.scale = x.mean(0), x.std(0) + 1e-6
     share = x[:, :k]
     z = (x - chain.mean) / chain.scale
-    held = np.arange(len(docs)) % 5 == 4
+    held = turn % 5 == 4
     one = np.ones((len(docs), 1))
     chain.slope, chain.shift = np.ones(k), np.zeros(k)
     clear, none = share >= 0.3, share <= 0.02
     chain.low = np.full(k, float(y[none].mean()) if none.any() else 0.0)
     chain.high = np.full(k, float(y[clear].mean()) if clear.sum() >= 20 else 1.0)
+    if not (chain.low < chain.high - 0.2).all():  # too few labels to tell how wrong they are
+        chain.low, chain.high = np.zeros(k), np.ones(k)
     for s in range(k):
         full = np.concatenate([z, y[:, :s], one], 1)
         w = _logistic(full[~held], y[~held, s], 1.0)
