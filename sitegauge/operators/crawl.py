@@ -51,7 +51,8 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, fetched: DataFrame, max_pa
     """
     if not 1 <= max_pages <= 1000:
         raise ValueError("max_pages must be from 1 to 1000")
-    alive = fetched.filter("url is not null").select("url").distinct()
+    # both are read again at every depth
+    alive, edges = staged(fetched.filter("url is not null").select("url").distinct()), staged(edges)
     order = Window.partitionBy("site").orderBy("position", "url")
     first = seeds.filter("url is not null").groupBy("site", "url").agg(F.min("position").alias("position")).join(alive, "url", "left_semi")
     first = first.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= max_pages)
