@@ -7,6 +7,8 @@ shared folder, so plans stay short and a lost executor costs one depth at most.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +44,13 @@ def canonical_edges(graph: DataFrame) -> DataFrame:
     return rows.groupBy(site.alias("site"), "src", "dst").agg(F.min("ordinal").alias("ordinal"))
 
 
-def breadth_first(seeds: DataFrame, edges: DataFrame, fetched: DataFrame, max_pages: int = 200, max_depth: int = 10) -> DataFrame:
+def breadth_first(seeds: DataFrame, edges: DataFrame, fetched: DataFrame, max_pages: int = 200) -> DataFrame:
     """(site, url, depth, position): the pages a crawl of each site takes, in order.
 
     ``seeds`` is (site, url, position), ``edges`` (site, src, dst, ordinal), ``fetched`` (url): pages that
     answer. Links to pages that don't answer take no slot. At most ``max_pages`` per site; ties in order
-    fall to the smaller URL. Seeds beyond the limit are left out; null URLs never count.
+    fall to the smaller URL. Seeds beyond the limit are left out; null URLs never count. Depth has no limit:
+    each takes a page of some site at least, so ``max_pages`` ends the crawl.
     """
     if not 1 <= max_pages <= 1000:
         raise ValueError("max_pages must be from 1 to 1000")
@@ -58,7 +61,7 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, fetched: DataFrame, max_pa
     first = first.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= max_pages)
     frontier = staged(first.select("site", "url", F.lit(0).alias("depth"), F.col("position").cast("bigint").alias("position")))
     seen = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = frontier.select("site", F.col("url").alias("src"), F.col("position").alias("before")).join(edges, ["site", "src"])
         new = step.groupBy("site", F.col("dst").alias("url")).agg(F.min(F.struct("before", "ordinal")).alias("place"))
         new = new.join(seen, ["site", "url"], "left_anti").join(alive, "url", "left_semi")

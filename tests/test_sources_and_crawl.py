@@ -34,6 +34,15 @@ def test_breadth_first(spark):
     assert crawl.breadth_first(seeds, edges, fetched, max_pages=2).count() == 2
 
 
+def test_breadth_first_has_no_depth_limit(spark):
+    u = lambda k: f"https://a.test/{k:02}"
+    graph = spark.createDataFrame([(u(k), 0, u(k + 1)) for k in range(13)], "src string, ordinal int, dst string")
+    fetched = spark.createDataFrame([(u(k),) for k in range(14)], "url string")
+    seeds = spark.createDataFrame([("a.test", u(0), 0)], "site string, url string, position long")
+    found = crawl.breadth_first(seeds, crawl.canonical_edges(graph), fetched).orderBy("position").collect()
+    assert [(r.url, r.depth) for r in found] == [(u(k), k) for k in range(14)]
+
+
 def test_redirects(spark):
     hops = [(f"https://a.test/{i}", 301, f"/{i + 1}") for i in range(9)] + [("https://a.test/e", 500, None)]
     r = spark.createDataFrame(hops, "url string, status int, location string")
