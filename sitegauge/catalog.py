@@ -272,7 +272,7 @@ def _fetched(spark, d):
 def _crawl(spark, d):
     fetched = _fetched(spark, d)
     root = fetched.groupBy(urls.bare_host(urls.host(F.col("url"))).alias("site")).agg(F.min("url").alias("url"))
-    seeds = root.select("site", "url", F.lit(0).cast("bigint").alias("position"))
+    seeds = crawl.crawl_seeds(_sitemap_pages(spark, d), root)
     return crawl.breadth_first(seeds, crawl.canonical_edges(table(spark, d, "link_graph")), fetched)
 
 

@@ -75,6 +75,29 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, fetched: DataFrame, max_pa
     return seen
 
 
+def sitemap_listed(sitemap_urls: DataFrame, roots: DataFrame) -> DataFrame:
+    """(site, url, position): the pages that sitemaps list of each site in ``roots``, canonical, in order, each once.
+
+    ``sitemap_urls`` is (base, loc, position), ``roots`` (site, url), one per site: URLs take the root's www form.
+    """
+    rows = sitemap_urls.withColumn("site", urls.bare_host(urls.host(F.col("base")))).join(roots.select("site", F.col("url").alias("root")), "site")
+    rows = rows.filter(urls.crawlable(F.col("loc"), F.col("root"))).select("site", urls.canonical(F.col("loc"), F.col("root")).alias("url"), "position")
+    rows = rows.groupBy("site", "url").agg(F.min("position").alias("position"))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("site").orderBy("position", "url")))
+
+
+def crawl_seeds(sitemap_urls: DataFrame, roots: DataFrame, max_pages: int = 200) -> DataFrame:
+    """(site, url, position): where the crawl of each site starts: the root, then its sitemap pages in order.
+
+    Sitemap pages are cut to ``max_pages`` before they meet the fetched pages. A root that the sitemap lists
+    keeps its place there; another one comes first, if the sitemap leaves a slot.
+    """
+    listed = sitemap_listed(sitemap_urls, roots).filter(F.col("position") <= max_pages)
+    full = listed.filter(F.col("position") == max_pages).select("site")
+    own = roots.join(full, "site", "left_anti").join(listed, ["site", "url"], "left_anti")
+    return listed.unionByName(own.select("site", "url", F.lit(0).alias("position")))
+
+
 def sitemap_first(sitemap_urls: DataFrame, fetched: DataFrame, max_pages: int = 200) -> DataFrame:
     """(site, url, position): the production crawl: sitemap pages in order, the root always first.
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from sitegauge.catalog import queries
 from sitegauge.operators import crawl, export
 from sitegauge.plans.staging import join_by_group
 from sitegauge.sources import sitemaps
@@ -43,6 +44,26 @@ def test_breadth_first_has_no_depth_limit(spark):
     assert [(r.url, r.depth) for r in found] == [(u(k), k) for k in range(14)]
 
 
+def test_crawl_starts_from_sitemap_and_root(spark, tmp_path):
+    u = lambda x: f"https://www.a.test/{x}"
+    listed = "".join(f"<url><loc>https://a.test/{x}</loc></url>" for x in ("z", "y", "gone", "z", "p.pdf"))
+    res = [("https://a.test/sitemap.xml", 200, "text/xml", f"<urlset>{listed}</urlset>")]
+    spark.createDataFrame(res, RES).write.parquet(str(tmp_path / "site_resources.parquet"))
+    fetches = [(u(x), 200, "<p>") for x in ("", "b", "y", "z", "lone")]
+    pages = spark.createDataFrame(fetches, "url string, status_code int, html string").withColumn("headers", F.lit(None).cast("map<string,array<string>>"))
+    pages.withColumn("page_id", F.monotonically_increasing_id()).write.parquet(str(tmp_path / "page_fetch.parquet"))
+    spark.createDataFrame([(u("y"), 0, u("b"))], "src string, ordinal int, dst string").write.parquet(str(tmp_path / "link_graph.parquet"))
+    found = queries()["crawl_bfs"](spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r.url, r.depth) for r in found] == [(u(""), 0), (u("z"), 0), (u("y"), 0), (u("b"), 1)]
+
+
+def test_crawl_seeds_leave_no_slot(spark):
+    u = lambda x: f"https://a.test/{x}"
+    told = spark.createDataFrame([("https://a.test/", u(x), f"/{k}") for k, x in enumerate("cab")], "base string, loc string, position string")
+    seeds = lambda root, n: [r.url[-1] for r in crawl.crawl_seeds(told, spark.createDataFrame([("a.test", u(root))], "site string, url string"), n).orderBy("position").collect()]
+    assert [seeds("r", 4), seeds("r", 3), seeds("a", 9), seeds("r", 2)] == [list("rcab"), list("cab"), list("cab"), list("ca")]
+
+
 def test_redirects(spark):
     hops = [(f"https://a.test/{i}", 301, f"/{i + 1}") for i in range(9)] + [("https://a.test/e", 500, None)]
     r = spark.createDataFrame(hops, "url string, status int, location string")
