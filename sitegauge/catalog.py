@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitegauge import oracles
 from sitegauge.functions import urls
 from sitegauge.operators import checks, crawl, dom, export, nested, report, rollups
+from sitegauge.plans.staging import staged
 from sitegauge.sources import sitemaps
 from sitegauge.streaming import logs
 
@@ -269,16 +270,15 @@ def _fetched(spark, d):
     return crawl.html_pages(table(spark, d, "page_fetch")).select(urls.canonical(F.col("url")).alias("url")).distinct()
 
 
-def _crawl(spark, d):
-    fetched = _fetched(spark, d)
-    root = fetched.groupBy(urls.bare_host(urls.host(F.col("url"))).alias("site")).agg(F.min("url").alias("url"))
-    seeds = crawl.crawl_seeds(_sitemap_pages(spark, d), root)
-    return crawl.breadth_first(seeds, crawl.canonical_edges(table(spark, d, "link_graph")), fetched)
+def _roots(fetched):
+    return fetched.groupBy(urls.bare_host(urls.host(F.col("url"))).alias("site")).agg(F.min("url").alias("url"))
 
 
 @query
 def crawl_bfs(spark, d):
-    return _crawl(spark, d)
+    fetched = _fetched(spark, d)
+    seeds = crawl.crawl_seeds(_sitemap_pages(spark, d), _roots(fetched))
+    return crawl.breadth_first(seeds, crawl.canonical_edges(table(spark, d, "link_graph")), fetched)
 
 
 @query
@@ -289,7 +289,12 @@ def crawl_sitemap_first(spark, d):
 @query
 def crawl_statistics(spark, d):
     pages = table(spark, d, "page_fetch").select("page_id", "url", "status_code").distinct()
-    return crawl.crawl_statistics(_crawl(spark, d), _sitemap_pages(spark, d), pages)
+    fetched, listed = staged(_fetched(spark, d)), staged(_sitemap_pages(spark, d))
+    known = _roots(fetched)
+    silent = _roots(pages.select(urls.canonical(F.col("url")).alias("url"))).join(known, "site", "left_anti")  # sites where no page answers
+    roots, edges = staged(known.unionByName(silent).filter("site is not null")), staged(crawl.canonical_edges(table(spark, d, "link_graph")))
+    crawled = crawl.breadth_first(crawl.crawl_seeds(listed, roots), edges, fetched)
+    return crawl.crawl_statistics(crawled, listed, roots, edges, pages)
 
 
 @query

@@ -114,16 +114,25 @@ def sitemap_first(sitemap_urls: DataFrame, fetched: DataFrame, max_pages: int =
     return rows.unionByName(roots).groupBy("site", "url").agg(F.min("position").alias("position")).join(alive, "url", "left_semi").select("site", "url", "position")
 
 
-def crawl_statistics(crawled: DataFrame, sitemap_urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row per site: sitemap URLs, links found in pages, discovered and crawled pages, failed fetches."""
-    site = lambda c: urls.bare_host(urls.host(F.col(c)))
+def crawl_statistics(crawled: DataFrame, sitemap_urls: DataFrame, roots: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row per site in ``roots``, of what its crawl met.
+
+    sitemap_urls counts the locations of its sitemaps, html_discovered the links of crawled pages (each page's
+    distinct links, summed), discovered the distinct pages that its sitemaps list or the crawl took,
+    total_crawled those it took, errors the fetches of these with status 400 or more. ``pages`` is (page_id,
+    url, status_code), without repeats; the others are as for ``breadth_first`` and ``crawl_seeds``.
+    """
+    mapped = sitemap_urls.groupBy(urls.bare_host(urls.host(F.col("base"))).alias("site")).agg(F.count("*").alias("sitemap_urls"))
     took = crawled.groupBy("site").agg(F.count("*").alias("total_crawled"))
-    mapped = sitemap_urls.groupBy(site("base").alias("site")).agg(F.count("*").alias("sitemap_urls"))
-    errors = pages.groupBy(site("url").alias("site")).agg(
-        F.count_if(F.coalesce(F.col("status_code"), F.lit(0)) >= 400).alias("errors"), F.countDistinct(urls.canonical(F.col("url"))).alias("discovered")
-    )
-    out = errors.join(took, "site", "left").join(mapped, "site", "left")
-    return out.select("site", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sitemap_urls", "discovered", "total_crawled", "errors")))
+    links = edges.join(crawled.select("site", F.col("url").alias("src")), ["site", "src"]).groupBy("site").agg(F.count("*").alias("html_discovered"))
+    met = sitemap_listed(sitemap_urls, roots).select("site", "url").unionByName(crawled.select("site", "url")).distinct()
+    met = met.groupBy("site").agg(F.count("*").alias("discovered"))
+    failed = pages.filter("status_code >= 400").select(urls.canonical(F.col("url")).alias("url")).join(crawled.select("site", "url"), "url")
+    failed = failed.groupBy("site").agg(F.count("*").alias("errors"))
+    out = roots.select("site")
+    for part in (mapped, links, met, took, failed):
+        out = out.join(part, "site", "left")
+    return out.select("site", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sitemap_urls", "html_discovered", "discovered", "total_crawled", "errors")))
 
 
 def html_pages(pages: DataFrame) -> DataFrame:

@@ -64,6 +64,18 @@ def test_crawl_seeds_leave_no_slot(spark):
     assert [seeds("r", 4), seeds("r", 3), seeds("a", 9), seeds("r", 2)] == [list("rcab"), list("cab"), list("cab"), list("ca")]
 
 
+def test_crawl_statistics(spark):
+    u = lambda x: f"https://a.test/{x}"
+    site, base = "a.test", "https://a.test/"
+    crawled = spark.createDataFrame([(site, u("1")), (site, u("2"))], "site string, url string")
+    told = spark.createDataFrame([(base, u("2"), "/0"), (base, u("9"), "/1"), (base, u("9"), "/2")], "base string, loc string, position string")
+    roots = spark.createDataFrame([(site, u("1")), ("b.test", "https://b.test/")], "site string, url string")
+    graph = spark.createDataFrame([(u("1"), 0, u("2")), (u("1"), 1, u("8")), (u("2"), 0, u("8")), (u("2"), 1, u("8")), (u("7"), 0, u("1"))], "src string, ordinal int, dst string")
+    pages = spark.createDataFrame([(1, u("1"), 200), (2, u("2"), 404), (3, u("7"), 404), (4, "https://b.test/", 200)], "page_id long, url string, status_code int")
+    out = {r.site: tuple(r)[1:] for r in crawl.crawl_statistics(crawled, told, roots, crawl.canonical_edges(graph), pages).collect()}
+    assert out == {"a.test": (3, 3, 3, 2, 1), "b.test": (0, 0, 0, 0, 0)}
+
+
 def test_redirects(spark):
     hops = [(f"https://a.test/{i}", 301, f"/{i + 1}") for i in range(9)] + [("https://a.test/e", 500, None)]
     r = spark.createDataFrame(hops, "url string, status int, location string")
