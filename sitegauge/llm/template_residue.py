@@ -4,11 +4,13 @@ Two searches, as the method asks:
 
 * *Inside ordinary records*, every visible text and title is searched directly for unresolved slots,
   literals of failed substitutions, instructions to the author and filler.
-* *Whole-page messages* are mined as log lines are: the lines of pages with little content are masked
+* *Whole-page messages* are mined as log lines are: the sentences of pages that may be messages are masked
   (numbers, then differing words) by a fixed-depth prefix tree (line length, then ``DEPTH`` leading
   tokens, then the closest template of the leaf). Each template is classified once and its verdict goes
-  to all lines it covers; a page whose lines are messages and nothing else is found. Tokens that bear
-  a verdict never become a wildcard, so a template has one verdict whatever its other words are.
+  to all lines it covers. A block is a message where a third of its sentences are; a page is found where
+  its text blocks are messages, two to each ordinary one at least. Tokens that bear a verdict never become a
+  wildcard, so a template has one verdict whatever its other words are. No length spares a page: long pages
+  whose own sentences can't reach those shares are just left out of the mining.
 
 Code samples, comments, scripts and templates are no visible text; a noscript notice counts only where
 the body holds nothing else. Null or empty html and null titles are never found, repeated rows count
@@ -28,8 +30,10 @@ from sitegauge.functions.text import words_of
 from sitegauge.operators.html import _REST, BLOCK, BOILERPLATE, HIDDEN, _region, plain
 from sitegauge.plans.staging import join_by_group, staged
 
-#: A body with more words than this isn't a message in place of content.
+#: Longer bodies are mined only where their sentences, judged one by one, would make the page a message.
 THIN_WORDS = 60
+#: A block with this part of message sentences is a message; so many message blocks outweigh an ordinary one.
+BLOCK_PART, OUTWEIGH = 3, 2
 #: Leading tokens that choose the leaf, and the share of equal tokens that joins a line to a template.
 DEPTH, CLOSE = 2, 0.6
 
@@ -60,6 +64,7 @@ _ORDER = re.compile(
     r"(?:write|add|insert|describe|put|enter|place|type|explain|tell|name|summari[sz]e)\s(?:\S+\s){1,8}?"
     r"(?:here|in (?:one|two|three|a few) sentences?|in your own words|in this (?:box|field|section|space|paragraph)|before publishing)"
 )
+_SENTENCE = re.compile(r"(?<=[.!?…])(?<!\b[Nn]o\.)\s+(?!\S*\d)")
 _SEGMENT = re.compile(r"\s*[.,;!?…]+\s*")
 
 #: Phrases of whole-page messages, by verdict.
@@ -72,14 +77,14 @@ _VERDICTS = (
         r"|(?:failed|fails) to respond|not respond|stopped answering|not handle the request|not connect to|unhandled exception|fatal error"
         r"|timed out|unauthori[sz]ed|bad request|nicht gefunden|wartungsarbeiten|introuvable|no se encuentra|non trovat[ao]|niet gevonden"
         r"|zugriff verweigert|accès refusé|acceso denegado|accesso negato|toegang geweigerd|serverfehler|erreur interne|error interno"
-        r"|errore interno|interne fout|en maintenance|en mantenimiento|in manutenzione|in onderhoud|^(?:http |error )?<status>$")),
+        r"|errore interno|interne fout|traceback most recent call last|exception\b.* at <\*>|en maintenance|en mantenimiento|in manutenzione|in onderhoud|^(?:http |error )?<status>$")),
     ("notice", re.compile(
         r"(?:javascript|scripts?|scripting|active content)\b.*\b(?:required|need(?:s|ed)?|off|disabled|enabled?|not supported)\b"
         r"|\b(?:enable|activate|allow|without|unless|turn on|switch on|needs?|requires?|not run|turned off|disabled|activer|aktivieren sie|active|activar|activa"
         r"|attiva|attivare|schakel)\b.*\b(?:javascript|scripts?|scripting|active content)\b|^checking your browser")),
     ("helper", re.compile(
         r"home page|reference no|try again|problem persists|contact the (?:site|owner|administrator)|mistyped|page has moved|to complete your request"
-        r"|angeforderte adresse|use the search|go back|^loading\b|startseite zurück|error code|request id")),
+        r"|angeforderte adresse|use the search|go back|^loading\b|startseite zurück|error code|request id|spelled correctly")),
 )
 _SIGNAL = frozenset(
     w
@@ -130,7 +135,7 @@ def mask(line: str) -> list[str]:
 def verdict(template: list[str]) -> str:
     """error, notice, helper or ordinary; a template is judged by its constant tokens."""
     text = " ".join(template)
-    return next((name for name, p in _VERDICTS if p.search(text)), "ordinary") if len(template) <= 25 else "ordinary"
+    return next((name for name, p in _VERDICTS if p.search(text)), "ordinary")
 
 
 class PrefixTree:
@@ -160,24 +165,33 @@ class PrefixTree:
         return best
 
 
-def _lines(html: str) -> list[tuple[str, str]]:
-    """(role, text) of the lines of a body with little content; none where there is real content."""
+def _lines(html: str) -> list[tuple[str, int, list[str]]]:
+    """(role, block, tokens) of the sentences of a body that may be a message; none where it can't."""
     parts = _EDGE.split(_CODE.sub(" ", _HEAD.sub(" ", html)))
-    found, words = [], 0
-    for role, part in zip(["", *parts[1::2]], parts[::2], strict=True):
-        if text := plain(part):
-            words += text.count(" ") + 1
-            if words > THIN_WORDS:
-                return []
-            found.append(("heading" if role[:1] in "hH" and role[1:].isdigit() else "text", text))
-    if not found:
-        found = [("text", text) for x in _NOSCRIPT.findall(html) if (text := plain(_EDGE.sub(" ", x)))]
-    return found
+    blocks = [("heading" if role[:1] in "hH" and role[1:].isdigit() else "text", text) for role, part in zip(["", *parts[1::2]], parts[::2], strict=True) if (text := plain(part))]
+    if not blocks:
+        blocks = [("text", text) for x in _NOSCRIPT.findall(html) if (text := plain(_EDGE.sub(" ", x)))]
+    long = sum(text.count(" ") + 1 for _, text in blocks) > THIN_WORDS
+    spare = sum(role == "text" for role, _ in blocks) // (OUTWEIGH + 1)
+    found, messages = [], False
+    for k, (role, text) in enumerate(blocks):
+        sentences = [t for x in _SENTENCE.split(text) if (t := mask(x))]
+        if long:
+            told = [verdict(t) for t in sentences]
+            told_off = told.count("error") + told.count("notice")
+            message = told_off > 0 and BLOCK_PART * told_off >= len(told)
+            messages |= message
+            if role == "text" and not message and "ordinary" in told:
+                spare -= 1
+                if spare < 0:
+                    return []
+        found += [(role, k, t) for t in sentences]
+    return found if messages or not long else []
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, roles, lines = [], [], []
+        ids, roles, blocks, lines = [], [], [], []
         for i, html, title in zip(*(b.column(c).to_pylist() for c in ("page_id", "html", "title")), strict=True):
             hit = bool(title) and has_residue(" ".join(title.split()), True)
             if html and not hit:
@@ -186,12 +200,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = "\n".join(x for x in map(plain, _EDGE.split(seen)[::2]) if x)
                 hit = any(has_residue(t, True) for t in own) or has_residue(text)
             if hit:
-                ids.append(i), roles.append("residue"), lines.append("")
+                ids.append(i), roles.append("residue"), blocks.append(0), lines.append("")
             elif html:
-                for role, line in _lines(html):
-                    if tokens := mask(line):
-                        ids.append(i), roles.append(role), lines.append(" ".join(tokens))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roles, pa.string()), pa.array(lines, pa.string())], ["page_id", "role", "line"])
+                for role, block, tokens in _lines(html):
+                    ids.append(i), roles.append(role), blocks.append(block), lines.append(" ".join(tokens))
+        cols = [pa.array(ids, pa.int64()), pa.array(roles, pa.string()), pa.array(blocks, pa.int32()), pa.array(lines, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["page_id", "role", "block", "line"])
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +236,11 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scanned(pages: DataFrame, reports: DataFrame) -> DataFrame:
-    """(page_id, role, line): residue found directly, and the masked lines of thin pages."""
+    """(page_id, role, block, line): residue found directly, and the masked sentences of pages that may be messages."""
     html = pages.filter("page_id is not null and html is not null").select("page_id", "html", F.lit(None).cast("string").alias("title"))
     titles = reports.filter("page_id is not null").select("page_id", F.lit(None).cast("string").alias("html"), F.col("meta.title").alias("title"))
     both = html.unionByName(titles.filter("title is not null"))
-    return staged(both.mapInArrow(_scan, "page_id long, role string, line string"))
+    return staged(both.mapInArrow(_scan, "page_id long, role string, block int, line string"))
 
 
 def mined(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +256,7 @@ def mined(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def message_templates(pages: DataFrame, reports: DataFrame) -> DataFrame:
-    """(template, verdict, lines): the templates of thin pages with the number of distinct lines each covers."""
+    """(template, verdict, lines): the templates of pages that may be messages with the number of distinct lines each covers."""
     lines = scanned(pages, reports).filter("role <> 'residue'").select("line")
     templates, _ = mined(lines)
     return templates.groupBy("template", "verdict").agg(F.count("*").alias("leaves"))
@@ -255,8 +269,11 @@ def pages_to_exclude(pages: DataFrame, reports: DataFrame) -> DataFrame:
     _, told = mined(lines.select("line"))
     judged = join_by_group(lines, told, ["line"], "n", max(1, int(told.agg(F.sum("n")).first()[0] or 0)))
     told_off = F.col("verdict").isin("error", "notice")
-    by_page = judged.groupBy("page_id").agg(
-        F.count_if(told_off).alias("messages"), F.count_if((F.col("verdict") == "ordinary") & (F.col("role") == "text")).alias("ordinary")
+    by_block = judged.groupBy("page_id", "role", "block").agg(F.count("*").alias("n"), F.count_if(told_off).alias("told"), F.count_if(F.col("verdict") == "ordinary").alias("plain"))
+    message = (F.col("told") > 0) & (BLOCK_PART * F.col("told") >= F.col("n"))
+    text = F.col("role") == "text"
+    by_page = by_block.groupBy("page_id").agg(
+        F.count_if(message).alias("messages"), F.count_if(message & text).alias("texts"), F.count_if(~message & (F.col("plain") > 0) & text).alias("ordinary")
     )
-    whole = by_page.filter("messages > 0 and ordinary = 0").select("page_id")
+    whole = by_page.filter(f"messages > 0 and texts >= {OUTWEIGH} * ordinary").select("page_id")
     return rows.filter("role = 'residue'").select("page_id").unionByName(whole).distinct()

@@ -35,6 +35,19 @@ def test_pages_to_exclude(spark):
     assert template_residue.pages_to_exclude(pages.limit(0), reports.limit(0)).count() == 0
 
 
+def test_long_messages_are_found(spark):
+    iis = (
+        "The resource you are looking for (or one of its dependencies) could have been removed, had its name changed, or is temporarily unavailable. "
+        "Please review the following URL and make sure that it is spelled correctly."
+    )
+    trace = "java.lang.IllegalStateException: no session " + " ".join(f"at shop.core.Step{k}.run(Step{k}.java:{k})" for k in range(70))
+    real = " ".join(f"Stop {k} of the walk is the old mill, which has been removed from most maps. The path there is steep and wet in spring. Bring good boots and water." for k in range(9))
+    rows = [(1, f"<body><h1>Oops</h1><p>{iis}</p>"), (2, f"<body><pre>{trace}</pre>"), (3, f"<body><h1>Page not found</h1><p>The walk is long. It is wet. Bring water and boots. {real}</p>"), (4, f"<body><p>{iis}</p>" + "<p>The mill opens at nine and sells bread.</p>" * 4), (5, "<body><h1>Bad gateway</h1><p>Reference no. 8f2a</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    reports = spark.createDataFrame([], "page_id long, meta struct<title: string>")
+    assert sorted(r.page_id for r in template_residue.pages_to_exclude(pages, reports).collect()) == [1, 2, 5]
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(7)
     vocab = [f"w{i}" for i in range(400)]
