@@ -26,18 +26,18 @@ BLOCK = (
     "tfoot", "th", "thead", "tr", "ul",
 )
 
-_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
-def _region(names: tuple[str, ...]) -> re.Pattern[str]:
-    return re.compile(rf"<!--.*?-->|<({'|'.join(names)})(?=[\s/>]){_REST}.*?</\1\s*>", re.S | re.I)
+def region(names: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile(rf"<!--.*?-->|<({'|'.join(names)})(?=[\s/>]){REST}.*?</\1\s*>", re.S | re.I)
 
 
-_NO_TEXT = _region(HIDDEN)
-_OUTSIDE = _region(HIDDEN + BOILERPLATE)
+_NO_TEXT = region(HIDDEN)
+_OUTSIDE = region(HIDDEN + BOILERPLATE)
 _NAMES = "|".join(b for b in BLOCK if b != "p")
-_P = re.compile(rf"<p(?=[\s/>]){_REST}(.*?)(?=</?(?:p|{_NAMES})(?=[\s/>])|\Z)", re.S | re.I)
-_TAG = re.compile(rf"</?[a-z]{_REST}|<![a-z]{_REST}", re.S | re.I)
+_P = re.compile(rf"<p(?=[\s/>]){REST}(.*?)(?=</?(?:p|{_NAMES})(?=[\s/>])|\Z)", re.S | re.I)
+_TAG = re.compile(rf"</?[a-z]{REST}|<![a-z]{REST}", re.S | re.I)
 _SPACE = re.compile(r"\s+")
 
 
