@@ -1,141 +1,146 @@
 """Pages that carry template residue, filler, error messages or script notices instead of content.
 
-Two searches, as the method asks:
-
-* *Inside ordinary records*, every visible text and title is searched directly for unresolved slots,
-  literals of failed substitutions, instructions to the author and filler.
-* *Whole-page messages* are mined as log lines are: the sentences of pages that may be messages are masked
-  (numbers, then differing words) by a fixed-depth prefix tree (line length, then ``DEPTH`` leading
-  tokens, then the closest template of the leaf). Each template is classified once and its verdict goes
-  to all lines it covers. A block is a message where a third of its sentences are; a page is found where
-  its text blocks are messages, two to each ordinary one at least. Tokens that bear a verdict never become a
-  wildcard, so a template has one verdict whatever its other words are. No length spares a page: long pages
-  whose own sentences can't reach those shares are just left out of the mining.
-
-Code samples, comments, scripts and templates are no visible text; a noscript notice counts only where
-the body holds nothing else. Null or empty html and null titles are never found, repeated rows count
-once, status codes are not consulted, and other columns of the inputs are ignored.
+1. *Slots.* Every visible text and title is searched directly for unresolved variables and the literals that
+   a failed substitution leaves; their forms are given by the template languages.
+2. *Lines.* Every sentence of every page is masked (numbers and codes become ``<*>``) and gets the odds of
+   being an error message, a script notice, a helper line beside one, filler, or an order to the author, by
+   ``message_model``. A line whose odds all stay below ``-REACH`` is ordinary whatever step 4 adds.
+3. *Templates.* The other lines are mined as log lines are, by a fixed-depth prefix tree: line length, then
+   ``DEPTH`` leading tokens, then the closest template of the leaf; tokens that differ become ``<*>``. A
+   template pools what its lines show on all pages of all hosts: their odds, how much of their pages they
+   make up, how many hosts share them, how often the status tells of an error.
+4. *Verdicts.* Each template is classified once from its pooled odds and evidence, and its verdict goes to all
+   lines it covers, so a line no one could judge by itself is known by the company it keeps.
+
+One line of filler or one order anywhere in the visible text excludes a page. A block is a message where a
+third of its sentences are; a page is found where its text blocks are messages, ``OUTWEIGH`` to each ordinary
+one at least. No length of page, block or line changes that.
+
+Code samples, comments, scripts and templates are no visible text (a page of nothing but code may be a
+message: a stack trace); a noscript notice counts only where the body holds nothing else. Null or empty html
+and null titles are never found, repeated rows count once, a status is one hint among others, and other
+columns of the inputs are ignored.
+
+Leaves may be hot, so lines are mined in ``PARTS`` parts of each leaf first; only the templates of the parts
+meet in one task.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.functions.text import words_of
-from sitegauge.operators.html import _REST, BLOCK, BOILERPLATE, HIDDEN, _region, plain
+from sitegauge.functions import urls
+from sitegauge.llm.message_model import MessageModel, train
+from sitegauge.llm.message_seeds import CLASSES
+from sitegauge.operators.html import BLOCK, BOILERPLATE, HIDDEN, REST, plain, region
 from sitegauge.plans.staging import join_by_group, staged
 
-#: Longer bodies are mined only where their sentences, judged one by one, would make the page a message.
-THIN_WORDS = 60
+#: Bound of the sample that shows the model ordinary lines: so many pages, those of the smallest hashed ids.
+TRAIN_PAGES = 250
 #: A block with this part of message sentences is a message; so many message blocks outweigh an ordinary one.
 BLOCK_PART, OUTWEIGH = 3, 2
-#: Leading tokens that choose the leaf, and the share of equal tokens that joins a line to a template.
-DEPTH, CLOSE = 2, 0.6
-
-#: Forms of unfilled variables and of author notes, as template languages write them.
+#: Leading tokens that choose the leaf, the share of equal tokens that joins a line to a template, parts of a leaf.
+DEPTH, CLOSE, PARTS = 2, 0.7, 16
+#: Most that pooled evidence can add to the odds of a template: status, share of the page, hosts.
+STATUS_MOST, COVER_MOST, HOSTS_MOST = 1.5, 1.0, 0.5
+REACH = STATUS_MOST + COVER_MOST + HOSTS_MOST
+#: Pages of the base rate that a template's error statuses are mixed with; odds that filler and orders must reach.
+SHRINK, FILLER_ODDS = 20, 2.0
+MESSAGES = CLASSES[1:]
+
+#: Forms of unfilled variables, as template languages write them, and literals of failed ones.
 _SLOT = re.compile(
-    r"\{\{\{?[^{}\n]{1,80}\}\}|\{%[^%\n]{1,120}%\}|[$#]\{[^{}\n]{1,80}\}|\[\[[^\[\]\n]{1,80}\]\]|%%[A-Za-z_][\w.]*%%|<%[^\n]{1,120}?%>"
+    r"\{\{\{?[^{}]+\}\}|\{%[^%]+%\}|\[%[^%]+%\]|[$#]\{[^{}]+\}|\[\[[^\[\]]+\]\]|%%[A-Za-z_][\w.]*%%|<%.+?%>|\*\|[A-Za-z_][\w:.]*\|\*"
+    r"|(?<![\w%])%[A-Z][A-Z0-9_]+%(?![\w%])|(?<![\w#])#[a-z]+(?:_[a-z]+)+#(?![\w#])|\{[a-z]+(?:_[a-z]+)+\}"
     r"|\b__[A-Z][A-Z0-9_]*__(?!\w)|@(?:Model|ViewBag|ViewData)\.\w+|\[object Object\]|\b(?:TODO|FIXME): ?\w"
-    r"|\[(?:(?i:insert|your|enter|add|type))\b[^\[\]\n]{1,60}(?i:here)\]|<(?!/)[\w .]{1,60} (?i:goes|comes) (?i:here)>"
+    r"|\[(?:(?i:insert|your|enter|add|type))\b[^\[\]]+(?i:here)\]|<(?!/)[\w .]+ (?i:goes|comes) (?i:here)>"
 )
 _FAILED = re.compile(r"(?:^|[|·–:—-])\s*(?:undefined|null|NaN|None|\(null\)|\[object Object\])\s*(?:$|[|·–:—-])")
-_LATIN = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua nunc tellus felis "
-    "cursus porta semper rutrum massa viverra ornare odio dapibus lectus quam velit urna eget vestibulum mauris pellentesque vivamus "
-    "praesent curabitur suspendisse nullam donec aenean integer fusce phasellus quis nulla enim justo vitae ultricies"
-).split()
-_KEYS = "foo bar baz qux asdf qwer qwerty zxcv hjkl xxx yyy zzz blah test".split()
-_RUN = re.compile(
-    "|".join(rf"\b(?:(?:{'|'.join(w)})\b[\s.,;:!?…-]*){{{n},}}" for w, n in ((_LATIN, 6), (_KEYS, 5))), re.I
-)
-_MARK = re.compile(r"[{\[%<@]|__|TODO|FIXME")
-_FILL_WORDS = frozenset(_LATIN + _KEYS)
-_FILLER = frozenset((
-    "your text goes here", "your text here", "sample text", "dummy copy", "dummy text", "placeholder text", "copy to follow",
-    "body copy goes in here", "replace this paragraph", "texto de ejemplo", "texte à remplacer", "testo segnaposto",
-    "voorbeeldtekst", "voorbeeldtekst hier", "hier steht ihr text", "text text text", "lorem ipsum",
-))
-_ORDER = re.compile(
-    r"(?:write|add|insert|describe|put|enter|place|type|explain|tell|name|summari[sz]e)\s(?:\S+\s){1,8}?"
-    r"(?:here|in (?:one|two|three|a few) sentences?|in your own words|in this (?:box|field|section|space|paragraph)|before publishing)"
-)
+_MARK = re.compile(r"[{\[%<@*#]|__|TODO|FIXME")
 _SENTENCE = re.compile(r"(?<=[.!?…])(?<!\b[Nn]o\.)\s+(?!\S*\d)")
-_SEGMENT = re.compile(r"\s*[.,;!?…]+\s*")
-
-#: Phrases of whole-page messages, by verdict.
-_VERDICTS = (
-    ("error", re.compile(
-        r"not found|not (?:be )?(?:find|found|loaded|load|located)|(?:does|do) not exist|no longer (?:available|here|exists)"
-        r"|(?:has|have) been (?:removed|deleted)|was (?:removed|deleted|not located)|\bis gone\b|^(?:\S+ (?:\S )?)?gone$|is missing$|nothing here$"
-        r"|access (?:is )?denied|^(?:\S+ ){0,3}forbidden$|permission to (?:view|access|see)|gateway|server error|too many requests|rate limit"
-        r"|for maintenance|(?:temporarily|currently|service|site is) unavailable|something went wrong|hit a snag|ran into a problem"
-        r"|(?:failed|fails) to respond|not respond|stopped answering|not handle the request|not connect to|unhandled exception|fatal error"
-        r"|timed out|unauthori[sz]ed|bad request|nicht gefunden|wartungsarbeiten|introuvable|no se encuentra|non trovat[ao]|niet gevonden"
-        r"|zugriff verweigert|accès refusé|acceso denegado|accesso negato|toegang geweigerd|serverfehler|erreur interne|error interno"
-        r"|errore interno|interne fout|traceback most recent call last|exception\b.* at <\*>|en maintenance|en mantenimiento|in manutenzione|in onderhoud|^(?:http |error )?<status>$")),
-    ("notice", re.compile(
-        r"(?:javascript|scripts?|scripting|active content)\b.*\b(?:required|need(?:s|ed)?|off|disabled|enabled?|not supported)\b"
-        r"|\b(?:enable|activate|allow|without|unless|turn on|switch on|needs?|requires?|not run|turned off|disabled|activer|aktivieren sie|active|activar|activa"
-        r"|attiva|attivare|schakel)\b.*\b(?:javascript|scripts?|scripting|active content)\b|^checking your browser")),
-    ("helper", re.compile(
-        r"home page|reference no|try again|problem persists|contact the (?:site|owner|administrator)|mistyped|page has moved|to complete your request"
-        r"|angeforderte adresse|use the search|go back|^loading\b|startseite zurück|error code|request id|spelled correctly")),
-)
-_SIGNAL = frozenset(
-    w
-    for _, p in _VERDICTS
-    for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"\\[a-zA-Z]", " ", p.pattern))
-    if w not in ("the", "to", "is", "it", "your", "in", "be")
-)
-
-_UNSEEN = _region(HIDDEN + ("noscript", "code", "pre"))
-_CODE = _region(HIDDEN + BOILERPLATE)
-_EDGE = re.compile(rf"<(/?(?:{'|'.join(BLOCK)}|title|br))(?=[\s/>]){_REST}", re.S | re.I)
+
+_UNSEEN = region(HIDDEN + ("noscript", "code", "pre"))
+_BODY = region(HIDDEN + BOILERPLATE)
+_EDGE = re.compile(rf"<(/?(?:{'|'.join(BLOCK)}|title|br))(?=[\s/>]){REST}", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_NOSCRIPT = re.compile(rf"<noscript(?=[\s>]){_REST}(.*?)</noscript", re.S | re.I)
-_HEAD = re.compile(rf"<head(?=[\s>]){_REST}.*?(?=</head|<body[\s>])", re.S | re.I)
-
-
-def has_residue(text: str, title: bool = False) -> bool:
-    """Whether a visible text (one line for each block) or title holds a slot, an order or filler."""
-    if (_MARK.search(text) and _SLOT.search(text)) or (title and _FAILED.search(text)):
-        return True
-    if sum(map(_FILL_WORDS.__contains__, words_of(text))) >= 5 and _RUN.search(text):
-        return True
-    for line in text.lower().split("\n"):
-        last, run = "", 1
-        for part in _SEGMENT.split(line):
-            if not part:
-                continue
-            run = run + 1 if part == last else 1
-            if run >= 3 or part in _FILLER or _ORDER.fullmatch(part):
-                return True
-            last = part
-        words = line.split()
-        if len(words) >= 6 and 2 * len(set(words)) <= len(words) and any(words[p:] == words[:-p] for p in range(1, len(words) // 3 + 1)):
-            return True
-    return False
-
-
-def mask(line: str) -> list[str]:
+_NOSCRIPT = re.compile(rf"<noscript(?=[\s>]){REST}(.*?)</noscript", re.S | re.I)
+_HEAD = re.compile(rf"<head(?=[\s>]){REST}.*?(?=</head|<body[\s>])", re.S | re.I)
+
+ODDS = ", ".join(f"{c} double" for c in MESSAGES)
+LINES = f"page_id long, role string, block int, sentences int, fill boolean, plain int, line string, times int, cover double, {ODDS}"
+POOLED = ["uses", "seen", "cover", "errors", "hosts", *MESSAGES]
+MINED = f"kind string, key string, text string, uses long, seen long, cover double, errors long, hosts long, {ODDS}"
+
+
+def has_slot(text: str, alone: bool = False) -> bool:
+    """Whether a text holds an unresolved variable, or (a title or block ``alone``) a failed literal."""
+    return bool((_MARK.search(text) and _SLOT.search(text)) or (alone and _FAILED.search(text)))
+
+
+def mask(line: str) -> tuple[str, ...]:
     """Lower-case tokens of a line; numbers and codes with digits become slots, status codes stay told apart."""
     out = []
-    for t in line.lower().split():
+    for t in re.sub("['’]", " ", line.lower()).split():
         bare = t.strip(".,;:!?…|-–()\"'")
         if bare:
             out.append("<status>" if re.fullmatch(r"[45]\d\d", bare) else "<*>" if any(c.isdigit() for c in bare) else bare)
-    return out
-
-
-def verdict(template: list[str]) -> str:
-    """error, notice, helper or ordinary; a template is judged by its constant tokens."""
-    text = " ".join(template)
-    return next((name for name, p in _VERDICTS if p.search(text)), "ordinary")
+    return tuple(out)
+
+
+def sentences(block: str) -> list[tuple[str, ...]]:
+    return [t for x in _SENTENCE.split(block) if (t := mask(x))]
+
+
+def _blocks(html: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """(role, text) of the blocks of the body, and the texts of all visible blocks."""
+    parts = _EDGE.split(_BODY.sub(" ", _HEAD.sub(" ", html)))
+    body = [("heading" if role[:1] in "hH" and role[1:].isdigit() else "text", text) for role, part in zip(["", *parts[1::2]], parts[::2], strict=True) if (text := plain(part))]
+    if not body:
+        body = [("text", text) for x in _NOSCRIPT.findall(html) if (text := plain(_EDGE.sub(" ", x)))]
+    return body, [x for x in map(plain, _EDGE.split(_UNSEEN.sub(" ", _HEAD.sub(" ", html)))[::2]) if x]
+
+
+def page_lines(html: str | None, title: str | None, model: MessageModel) -> list[tuple] | None:
+    """Lines of a page within reach, as ``LINES`` without the id; None where a slot stands in it.
+
+    ``plain`` is the number of text blocks of the body without any such line, ``sentences`` the number of
+    sentences of the line's block and ``times`` how many of them it is, ``cover`` the block's share of the
+    body's words; ``fill`` tells whether the line is visible text, where filler and orders count.
+    """
+    titles = [title] if title else []
+    if html:
+        titles += _TITLE.findall(_UNSEEN.sub(" ", html))
+    titles = [x for t in titles if (x := plain(t) if t is not title else " ".join(t.split()))]
+    body, visible = _blocks(html) if html else ([], [])
+    if any(has_slot(t, True) for t in titles + visible):
+        return None
+    out: list[tuple] = []
+    left = Counter(visible)
+    total = max(1, sum(text.count(" ") + 1 for _, text in body))
+
+    def near(told: list[tuple[str, ...]]) -> list[tuple[str, int, list[float]]]:
+        odds = ((t, n, model.odds(t)[1:]) for t, n in Counter(told).items())
+        return [(" ".join(t), n, o.tolist()) for t, n, o in odds if o.max() > -REACH]
+
+    spare = 0
+    for k, (role, text) in enumerate(body):
+        fill = left[text] > 0
+        left[text] -= fill
+        told = sentences(text)
+        found = near(told)
+        if not found:
+            spare += role == "text" and bool(told)
+        cover = (text.count(" ") + 1) / total
+        out += [(role, k, len(told), fill, t, n, cover, *o) for t, n, o in found]
+    for role, texts in (("title", titles), ("beside", left.elements())):
+        out += [(role, -1, 1, True, t, 1, 0.0, *o) for t, _, o in near([t for x in texts for t in sentences(x)])]
+    return [(*r[:4], spare, *r[4:]) for r in out]
 
 
 class PrefixTree:
@@ -144,136 +149,168 @@ class PrefixTree:
     def __init__(self) -> None:
         self.templates: list[list[str]] = []
         self.exact: dict[tuple[str, ...], int] = {}
+        # (position, token) -> templates that have it there
+        self.having: dict[tuple[int, str], set[int]] = defaultdict(set)
 
     def add(self, tokens: list[str]) -> int:
-        signal = tuple(t if t in _SIGNAL or t == "<status>" else "" for t in tokens)
-        best, score = -1, CLOSE
+        """Number of the template that covers the line, made more general or new where need be."""
         if (at := self.exact.get(tuple(tokens))) is not None:
             return at
-        for k, t in enumerate(self.templates):
-            if all(s == (c if c in _SIGNAL or c == "<status>" else "") for s, c in zip(signal, t, strict=True)):
-                same = sum(a == b or b == "<*>" for a, b in zip(tokens, t, strict=True)) / len(t)
-                if same >= score:
-                    best, score = k, same
-        if best < 0:
+        votes = Counter(k for at in enumerate(tokens) for k in self.having.get(at, ()))
+        best = max(votes, key=lambda k: (votes[k], -k), default=None)
+        if best is None or votes[best] < CLOSE * len(tokens):
             best = len(self.templates)
             self.templates.append(list(tokens))
-            self.exact[tuple(tokens)] = best
+            for at in enumerate(tokens):
+                self.having[at].add(best)
         else:
-            t = self.templates[best]
-            self.templates[best] = [a if a == b else "<*>" for a, b in zip(t, tokens, strict=True)]
+            mine = self.templates[best]
+            for i, (a, b) in enumerate(zip(mine, tokens, strict=True)):
+                if a != b and a != "<*>":
+                    self.having[i, a].discard(best)
+                    self.having[i, "<*>"].add(best)
+                    mine[i] = "<*>"
+        self.exact[tuple(tokens)] = best
         return best
 
 
-def _lines(html: str) -> list[tuple[str, int, list[str]]]:
-    """(role, block, tokens) of the sentences of a body that may be a message; none where it can't."""
-    parts = _EDGE.split(_CODE.sub(" ", _HEAD.sub(" ", html)))
-    blocks = [("heading" if role[:1] in "hH" and role[1:].isdigit() else "text", text) for role, part in zip(["", *parts[1::2]], parts[::2], strict=True) if (text := plain(part))]
-    if not blocks:
-        blocks = [("text", text) for x in _NOSCRIPT.findall(html) if (text := plain(_EDGE.sub(" ", x)))]
-    long = sum(text.count(" ") + 1 for _, text in blocks) > THIN_WORDS
-    spare = sum(role == "text" for role, _ in blocks) // (OUTWEIGH + 1)
-    found, messages = [], False
-    for k, (role, text) in enumerate(blocks):
-        sentences = [t for x in _SENTENCE.split(text) if (t := mask(x))]
-        if long:
-            told = [verdict(t) for t in sentences]
-            told_off = told.count("error") + told.count("notice")
-            message = told_off > 0 and BLOCK_PART * told_off >= len(told)
-            messages |= message
-            if role == "text" and not message and "ordinary" in told:
-                spare -= 1
-                if spare < 0:
-                    return []
-        found += [(role, k, t) for t in sentences]
-    return found if messages or not long else []
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, roles, blocks, lines = [], [], [], []
-        for i, html, title in zip(*(b.column(c).to_pylist() for c in ("page_id", "html", "title")), strict=True):
-            hit = bool(title) and has_residue(" ".join(title.split()), True)
-            if html and not hit:
-                seen = _UNSEEN.sub(" ", html)
-                own = [plain(t) for t in _TITLE.findall(seen)]
-                text = "\n".join(x for x in map(plain, _EDGE.split(seen)[::2]) if x)
-                hit = any(has_residue(t, True) for t in own) or has_residue(text)
-            if hit:
-                ids.append(i), roles.append("residue"), blocks.append(0), lines.append("")
-            elif html:
-                for role, block, tokens in _lines(html):
-                    ids.append(i), roles.append(role), blocks.append(block), lines.append(" ".join(tokens))
-        cols = [pa.array(ids, pa.int64()), pa.array(roles, pa.string()), pa.array(blocks, pa.int32()), pa.array(lines, pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, ["page_id", "role", "block", "line"])
+def _scan(model: MessageModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.float64(), *[pa.float64()] * len(MESSAGES), pa.int64(), pa.bool_()]
+        names = ["page_id", "role", "block", "sentences", "fill", "plain", "line", "times", "cover", *MESSAGES, "host", "failed"]
+        for b in batches:
+            rows: list[tuple] = []
+            for i, html, title, host, failed in zip(*(b.column(c).to_pylist() for c in ("page_id", "html", "title", "host", "failed")), strict=True):
+                found = page_lines(html, title, model)
+                if found is None:
+                    rows.append((i, "slot", -1, 1, True, 0, "", 1, 0.0, *[0.0] * len(MESSAGES), host, failed))
+                else:
+                    rows += [(i, *r, host, failed) for r in found]
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
+    return run
 
-def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines sorted by leaf -> ('line', leaf, number, line) rows, then ('template', ...) at each leaf's end."""
-    tree, leaf = PrefixTree(), None
-    for b in batches:
-        out: list[tuple[str, str, int, str]] = []
-        for key, line in zip(b.column("leaf").to_pylist(), b.column("line").to_pylist(), strict=True):
-            if key != leaf:
-                out += [("template", leaf, k, " ".join(t)) for k, t in enumerate(tree.templates)]
-                tree, leaf = PrefixTree(), key
-            out.append(("line", key, tree.add(line.split(" ")), line))
-        yield _rows(out)
-    yield _rows([("template", leaf, k, " ".join(t)) for k, t in enumerate(tree.templates)])
 
+def fit(pages: DataFrame) -> MessageModel:
+    """Train the model with the lines of the bounded sample of pages."""
+    told = pages.filter("page_id is not null and html <> ''")
+    picked = told.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(TRAIN_PAGES)
+    rows = told.join(F.broadcast(picked), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).collect()
+    texts = ([text for _, text in body] + visible for body, visible in (_blocks(r.html) for r in rows))
+    return train(t for blocks in texts for text in blocks for t in sentences(text))
 
-def _rows(rows: list[tuple[str, str | None, int, str]]) -> pa.RecordBatch:
-    kinds, leaves, numbers, texts = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kinds, pa.string()), pa.array(leaves, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["kind", "leaf", "number", "text"]
-    )
 
+def scanned(pages: DataFrame, reports: DataFrame) -> DataFrame:
+    """``LINES`` with host and failed (an error status): slots found directly, and all lines within reach."""
+    model = pages.sparkSession.sparkContext.broadcast(fit(pages))
+    failed = F.coalesce(F.col("status_code") >= 400, F.lit(False)) if "status_code" in pages.columns else F.lit(False)
+    # a bit for each of 64 groups of hosts: their number is estimated from the bits that stay unset
+    host = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(urls.host(F.col("url"))), F.lit(64)).cast("int"))
+    html = pages.filter("page_id is not null and html is not null").select("page_id", "html", F.lit(None).cast("string").alias("title"), host.alias("host"), failed.alias("failed"))
+    titles = reports.filter("page_id is not null and meta.title is not null")
+    titles = titles.select("page_id", F.lit(None).cast("string").alias("html"), F.col("meta.title").alias("title"), F.lit(0).cast("bigint").alias("host"), F.lit(False).alias("failed"))
+    seen = html.unionByName(titles).mapInArrow(lambda b: _scan(model.value)(b), LINES + ", host long, failed boolean")
+    return staged(seen.distinct())
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        told = [verdict(t.split(" ")) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("leaf", "number", "text")), pa.array(told, pa.string())], ["leaf", "number", "template", "verdict"])
 
+def _pooled() -> list[Column]:
+    """Aggregates that add up what templates or lines show; odds count once for each use."""
+    total = F.sum("uses")
+    odds = [(F.sum(F.col(c) * F.col("uses")) / total).alias(c) for c in MESSAGES]
+    return [*odds, F.sum("seen").alias("seen"), F.sum("cover").alias("cover"), F.sum("errors").alias("errors"), F.bit_or("hosts").alias("hosts"), total.alias("uses")]
 
-def scanned(pages: DataFrame, reports: DataFrame) -> DataFrame:
-    """(page_id, role, block, line): residue found directly, and the masked sentences of pages that may be messages."""
-    html = pages.filter("page_id is not null and html is not null").select("page_id", "html", F.lit(None).cast("string").alias("title"))
-    titles = reports.filter("page_id is not null").select("page_id", F.lit(None).cast("string").alias("html"), F.col("meta.title").alias("title"))
-    both = html.unionByName(titles.filter("title is not null"))
-    return staged(both.mapInArrow(_scan, "page_id long, role string, block int, line string"))
 
+def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines sorted by leaf -> ('line', template key, line, its figures) rows, then ('template', key, text) at each leaf's end."""
+    tree, leaf = PrefixTree(), None
 
-def mined(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Templates (leaf, number, template, verdict) of distinct lines, and verdicts (line, n, verdict)."""
+    def ends() -> list[tuple]:
+        return [("template", f"{leaf}\t{k}", " ".join(t), *[None] * len(POOLED)) for k, t in enumerate(tree.templates)]
+
+    for b in batches:
+        out: list[tuple] = []
+        for key, line, *figures in zip(*(b.column(c).to_pylist() for c in ("leaf", "line", *POOLED)), strict=True):
+            if key != leaf:
+                out += ends()
+                tree, leaf = PrefixTree(), key
+            out.append(("line", f"{key}\t{tree.add(line.split(' '))}", line, *figures))
+        yield _rows(out)
+    yield _rows(ends())
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string()] * 3 + [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()] + [pa.float64()] * len(MESSAGES)
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["kind", "key", "text", *POOLED])
+
+
+def _templates(lines: DataFrame, leaf: Column) -> tuple[DataFrame, DataFrame]:
+    """Members (line, key) and templates (key, line, figures) of lines mined within ``leaf``."""
+    ordered = lines.withColumn("leaf", leaf).repartition("leaf").sortWithinPartitions("leaf", F.desc("uses"), "line")
+    out = staged(ordered.select("leaf", "line", *POOLED).mapInArrow(_mine, MINED))
+    members = out.filter("kind = 'line'").withColumnRenamed("text", "line")
+    found = members.groupBy("key").agg(*_pooled()).join(out.filter("kind = 'template'").select("key", F.col("text").alias("line")), "key")
+    return members.select("line", "key", "uses"), staged(found)
+
+
+def verdict(base: float) -> Column:
+    """The class of a template from its pooled odds and evidence; ``base`` is the share of error statuses of all pages."""
+    rate = (F.col("errors") + SHRINK * base) / (F.col("seen") + SHRINK)
+    status = F.least(F.greatest(F.log(rate / base), F.lit(0.0)), F.lit(STATUS_MOST))
+    cover = F.least(2 * F.col("cover") / F.greatest("seen", F.lit(1)) - 0.2, F.lit(COVER_MOST))
+    unset = F.greatest(F.lit(64) - F.bit_count("hosts"), F.lit(1))
+    hosts = F.least(F.log(F.greatest(F.lit(64.0) * F.log(F.lit(64.0) / unset), F.lit(1.0))) / 4, F.lit(HOSTS_MOST))
+    message, filler = status + cover + hosts, hosts - FILLER_ODDS
+    scored = [F.struct((F.col(c) + (filler if c in ("filler", "order") else message)).alias("odds"), F.lit(c).alias("verdict")) for c in MESSAGES]
+    best = F.array_max(F.array(*scored))
+    return F.when(best["odds"] > 0, best["verdict"]).otherwise("ordinary")
+
+
+def mined(rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Templates (line, verdict, figures) of the scanned lines, and verdicts (line, uses, verdict) of the lines."""
+    body = F.col("role").isin("heading", "text")
+    figures = [
+        F.count("*").alias("uses"), F.count_if(body).alias("seen"), F.sum(F.when(body, F.col("cover")).otherwise(0.0)).alias("cover"),
+        F.count_if(body & F.col("failed")).alias("errors"), F.bit_or("host").alias("hosts"), *(F.any_value(c).alias(c) for c in MESSAGES),
+    ]
+    counted = rows.filter("role <> 'slot'").groupBy("line").agg(*figures)
+    failed = F.count_if(F.col("status_code") >= 400) if "status_code" in pages.columns else F.lit(0)
+    base = pages.agg((failed + 1) / (F.count("*") + 20)).first()[0]
     tokens = F.split("line", " ")
     leaf = F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH))
-    counted = lines.groupBy("line").agg(F.count("*").alias("n")).withColumn("leaf", leaf)
-    sorted_ = counted.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line")
-    out = staged(sorted_.select("leaf", "line").mapInArrow(_mine, "kind string, leaf string, number int, text string"))
-    templates = staged(out.filter("kind = 'template'").select("leaf", "number", "text").mapInArrow(_classify, "leaf string, number int, template string, verdict string"))
-    told = out.filter("kind = 'line'").select("leaf", "number", F.col("text").alias("line")).join(templates.select("leaf", "number", "verdict"), ["leaf", "number"])
-    return templates, staged(told.join(counted.select("line", "n"), "line").select("line", "n", "verdict"))
+    lines, parts = _templates(counted, F.concat_ws("\t", leaf, F.pmod(F.xxhash64("line"), F.lit(PARTS)).cast("string")))
+    # the templates of a leaf's parts meet; a line finds its verdict by the template of its part
+    again, whole = _templates(parts.drop("key"), leaf)
+    judged = staged(whole.withColumn("verdict", verdict(base)))
+    by_text = again.join(judged.select("key", "verdict"), "key").select("line", "verdict").distinct()
+    sizes = lines.groupBy("key").agg(F.count("*").alias("lines"))
+    by_part = staged(parts.select("key", "line").join(by_text, "line").join(sizes, "key").select("key", "verdict", "lines"))
+    total = int(by_part.agg(F.sum("lines")).first()[0] or 0)
+    return judged, staged(join_by_group(lines, by_part, ["key"], "lines", total).select("line", "uses", "verdict"))
 
 
 def message_templates(pages: DataFrame, reports: DataFrame) -> DataFrame:
-    """(template, verdict, lines): the templates of pages that may be messages with the number of distinct lines each covers."""
-    lines = scanned(pages, reports).filter("role <> 'residue'").select("line")
-    templates, _ = mined(lines)
-    return templates.groupBy("template", "verdict").agg(F.count("*").alias("leaves"))
+    """(template, verdict, uses): the mined templates, their verdicts and how many lines of pages each covers."""
+    templates, _ = mined(scanned(pages, reports), pages)
+    return templates.groupBy(F.col("line").alias("template"), "verdict").agg(F.sum("uses").alias("uses"))
 
 
 def pages_to_exclude(pages: DataFrame, reports: DataFrame) -> DataFrame:
     """(page_id) of the pages to exclude, each once; see the module for what counts."""
     rows = scanned(pages, reports)
-    lines = rows.filter("role <> 'residue'")
-    _, told = mined(lines.select("line"))
-    judged = join_by_group(lines, told, ["line"], "n", max(1, int(told.agg(F.sum("n")).first()[0] or 0)))
-    told_off = F.col("verdict").isin("error", "notice")
-    by_block = judged.groupBy("page_id", "role", "block").agg(F.count("*").alias("n"), F.count_if(told_off).alias("told"), F.count_if(F.col("verdict") == "ordinary").alias("plain"))
-    message = (F.col("told") > 0) & (BLOCK_PART * F.col("told") >= F.col("n"))
+    _, told = mined(rows, pages)
+    lines = rows.filter("role <> 'slot'").select("page_id", "role", "block", "sentences", "fill", "plain", "line", "times")
+    judged = join_by_group(lines, told, ["line"], "uses", int(told.agg(F.sum("uses")).first()[0] or 0))
+    filled = judged.filter("fill and verdict in ('filler', 'order')").select("page_id")
+    times = lambda *verdicts: F.sum(F.when(F.col("verdict").isin(*verdicts), F.col("times")).otherwise(0))
+    body = judged.filter("role in ('heading', 'text')").groupBy("page_id", "role", "block", "sentences", "plain")
+    by_block = body.agg(times("error", "notice").alias("told"), times("helper").alias("quiet"))
+    message = (F.col("told") > 0) & (BLOCK_PART * F.col("told") >= F.col("sentences"))
     text = F.col("role") == "text"
-    by_page = by_block.groupBy("page_id").agg(
-        F.count_if(message).alias("messages"), F.count_if(message & text).alias("texts"), F.count_if(~message & (F.col("plain") > 0) & text).alias("ordinary")
-    )
-    whole = by_page.filter(f"messages > 0 and texts >= {OUTWEIGH} * ordinary").select("page_id")
-    return rows.filter("role = 'residue'").select("page_id").unionByName(whole).distinct()
+    by_page = by_block.groupBy("page_id", "plain").agg(
+        F.count_if(message).alias("messages"), F.count_if(message & text).alias("texts"),
+        F.count_if(~message & (F.col("told") + F.col("quiet") < F.col("sentences")) & text).alias("ordinary"),
+    )
+    whole = by_page.filter(f"messages > 0 and texts >= {OUTWEIGH} * (ordinary + plain)").select("page_id")
+    return rows.filter("role = 'slot'").select("page_id").unionByName(filled).unionByName(whole).distinct()

@@ -9,30 +9,65 @@ FETCH = "page_id long, html string, url string, words string"
 REPORT = "page_id long, meta struct<title: string, description: string>, id string"
 LOCALE = "page_id long, locale string, lang string"
 
-RESIDUE = ["{{ name }}", "a ${x.y} b", "%%TITLE%%", "[[a]]", "<%= x %>", "__NAME__", "@Model.City", "[INSERT NAME HERE]", "[Your name here]", "<name goes here>", "TODO: add x", "[object Object]", "#{a}", "{% block a %}", "Sample text. Sample text. Sample text.", "asdf foo bar asdf qwer foo", "Lorem ipsum dolor sit amet elit sed", "Describe your story in two sentences."]
-FINE = ["", "Designers replace dummy copy early, before lorem ipsum reaches a reader.", "A visitor who meets the words page not found leaves.", "undefined behaviour", "10 % of [a] and {b}", "Add a page before the next crawl."]
+SLOTS = [
+    "{{ name }}", "a ${x.y} b", "%%TITLE%%", "[[a]]", "<%= x %>", "__NAME__", "@Model.City", "[INSERT NAME HERE]", "[Your name here]", "<name goes here>", "TODO: add x", "[object Object]", "#{a}", "{% block a %}",
+    "Hi *|FNAME|*", "Welcome [% user.name %]", "Dear %FIRSTNAME%", "Dear {first_name}", "to #first_name#", "{{ " + "x" * 500 + " }}",
+]
+NO_SLOTS = ["", "undefined behaviour", "10 % of [a] and {b}", "Add a page before the next crawl.", "100%DV and 5%", "#top #news", "*|* a"]
+FILLED = ["Sample text. Sample text. Sample text.", "asdf foo bar asdf qwer foo", "Lorem ipsum dolor sit amet elit sed", "Describe your story in two sentences.", "Beispieltext hier", "Texto de ejemplo"]
+MESSAGES = ["Diese Seite gibt es leider nicht", "Esta página ya no está disponible", "Deze pagina bestaat niet meer", "Connection reset by peer", "Error 410: Gone", "Cette page n'existe plus", "Please turn on JavaScript to continue"]
+REAL = "<p>The harbour opens at noon. Boats leave every hour. Guests meet at the old gate.</p>"
+ABOUT = "<p>Designers replace dummy copy early, before lorem ipsum reaches a reader. A visitor who meets the words page not found leaves.</p>"
 
 
-@pytest.mark.parametrize("text", RESIDUE)
-def test_residue(text):
-    assert template_residue.has_residue(text)
+@pytest.mark.parametrize("text", SLOTS)
+def test_slots(text):
+    assert template_residue.has_slot(text)
 
 
-@pytest.mark.parametrize("text", FINE)
-def test_no_residue(text):
-    assert not template_residue.has_residue(text, True)
+@pytest.mark.parametrize("text", NO_SLOTS)
+def test_no_slots(text):
+    assert not template_residue.has_slot(text, True)
+
+
+def excluded(spark, html, titles=(), status=None):
+    pages = spark.createDataFrame([(i, h, f"https://h{i}.test/", status, "x") for i, h in html.items()] * 2 + [(None, "{{ x }}", None, None, None)], "page_id long, html string, url string, status_code int, line string")
+    reports = spark.createDataFrame(list(titles), "page_id long, meta struct<title: string, description: string>, key string")
+    return sorted(r.page_id for r in template_residue.pages_to_exclude(pages, reports).collect()), pages, reports
 
 
 def test_pages_to_exclude(spark):
-    real = "<p>The harbour opens at noon. Boats leave every hour. Guests meet at the old gate.</p>"
     html = {
-        1: "<h1>404 | Page not found</h1><p>Return to the home page.</p>", 2: f"<noscript>Please enable JavaScript.</noscript>{real}", 3: "<body><noscript>Please enable JavaScript.</noscript><div id=app></div>",
-        4: f"<pre>{{{{ x }}}}</pre><!-- {{{{ y }}}} --><script>'${{z}}'</script>{real}", 5: f"{real}<li>&#123;{{name}}&#x7d;", 6: None, 7: "", 8: "<p>Short but real.</p>", 9: real, 10: f"<h1>How we handle page not found</h1>{real}",
+        1: "<h1>404 | Page not found</h1><p>Return to the home page.</p>", 2: f"<noscript>Please enable JavaScript.</noscript>{REAL}", 3: "<body><noscript>Please enable JavaScript.</noscript><div id=app></div>",
+        4: f"<pre>{{{{ x }}}}</pre><!-- {{{{ y }}}} --><script>'${{z}}'</script>{REAL}", 5: f"{REAL}<li>&#123;{{name}}&#x7d;", 6: None, 7: "", 8: "<p>Short but real.</p>", 9: REAL, 10: f"<h1>How we handle page not found</h1>{REAL}",
+        11: f"{REAL}{ABOUT}", 12: ABOUT, **{20 + k: f"{REAL}<p>{x}</p>{REAL}" for k, x in enumerate(FILLED)}, **{40 + k: f"<h1>Site</h1><p>{x}</p>" for k, x in enumerate(MESSAGES)},
+        60: f"<h1>undefined | Shop</h1>{REAL}",
     }
-    pages = spark.createDataFrame([(i, h, None, None) for i, h in html.items()] * 2 + [(None, html[1], None, None)], FETCH)
-    reports = spark.createDataFrame([(9, ("null - Site", None), None), (8, None, None), (8, (None, None), None)], REPORT)
-    assert sorted(r.page_id for r in template_residue.pages_to_exclude(pages, reports).collect()) == [1, 3, 5, 9]
+    titles = [(9, ("null - Site", None), None), (8, None, None), (8, (None, None), None), (11, ("Your title goes here", None), None)]
+    found, pages, reports = excluded(spark, html, titles)
+    assert found == [1, 3, 5, 9, 11, *range(20, 20 + len(FILLED)), *range(40, 40 + len(MESSAGES)), 60]
     assert template_residue.pages_to_exclude(pages.limit(0), reports.limit(0)).count() == 0
+    assert {r.verdict for r in template_residue.message_templates(pages, reports).collect()} >= {"error", "notice", "filler", "order"}
+
+
+def test_templates_decide_what_a_line_alone_does_not(spark):
+    """Lines that say little by themselves: an error where a template pools them over hosts and error statuses, else ordinary."""
+    names = "brook cliff dale fjord glen heath inlet knoll ledge marsh notch oasis plain quarry ridge shoal tarn upland vale weir".split()
+    line = lambda k, x: (k, "text", 0, 1, True, 0, f"queue desk {x} closed entry <*>", 1, 1.0, -4.0, -2.0, -5.0, -5.0, -5.0, 1 << k, True)
+    rows = spark.createDataFrame([line(k, x) for k, x in enumerate(names)], template_residue.LINES + ", host long, failed boolean")
+    pages = spark.createDataFrame([(k, 503 if k < 20 else 200) for k in range(600)], "page_id long, status_code int")
+    told = lambda df: {r.line.split()[2]: r.verdict for r in template_residue.mined(df, pages)[1].collect()}
+    assert told(rows) == dict.fromkeys(names, "error")
+    assert told(rows.filter("page_id = 3")) == {"fjord": "ordinary"}
+    templates = template_residue.mined(rows, pages)[0].collect()
+    assert [(r.line, r.uses) for r in templates] == [("queue desk <*> closed entry <*>", 20)]
+
+
+def test_prefix_tree():
+    tree = template_residue.PrefixTree()
+    lines = ["user ann was not found today", "user bob was not found today", "user ann was here last monday", "go", "go", "stop"]
+    assert [tree.add(x.split()) for x in lines] == [0, 0, 1, 2, 2, 3]
+    assert tree.templates[0] == "user <*> was not found today".split()
 
 
 def test_long_messages_are_found(spark):
@@ -42,10 +77,12 @@ def test_long_messages_are_found(spark):
     )
     trace = "java.lang.IllegalStateException: no session " + " ".join(f"at shop.core.Step{k}.run(Step{k}.java:{k})" for k in range(70))
     real = " ".join(f"Stop {k} of the walk is the old mill, which has been removed from most maps. The path there is steep and wet in spring. Bring good boots and water." for k in range(9))
-    rows = [(1, f"<body><h1>Oops</h1><p>{iis}</p>"), (2, f"<body><pre>{trace}</pre>"), (3, f"<body><h1>Page not found</h1><p>The walk is long. It is wet. Bring water and boots. {real}</p>"), (4, f"<body><p>{iis}</p>" + "<p>The mill opens at nine and sells bread.</p>" * 4), (5, "<body><h1>Bad gateway</h1><p>Reference no. 8f2a</p>")]
-    pages = spark.createDataFrame(rows, "page_id long, html string")
-    reports = spark.createDataFrame([], "page_id long, meta struct<title: string>")
-    assert sorted(r.page_id for r in template_residue.pages_to_exclude(pages, reports).collect()) == [1, 2, 5]
+    spoken = "The page you requested could not be found. " * 5 + "It has been removed, or its address has changed. " * 5
+    html = {
+        1: f"<body><h1>Oops</h1><p>{iis}</p>", 2: f"<body><pre>{trace}</pre>", 3: f"<body><h1>Page not found</h1><p>The walk is long. It is wet. Bring water and boots. {real}</p>",
+        4: f"<body><p>{iis}</p>" + "<p>The mill opens at nine and sells bread.</p>" * 4, 5: "<body><h1>Bad gateway</h1><p>Reference no. 8f2a</p>", 6: f"<body><p>{spoken}</p>",
+    }
+    assert excluded(spark, html)[0] == [1, 2, 5, 6]
 
 
 def test_near_duplicates_match_brute_force(spark):
