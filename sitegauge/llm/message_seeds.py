@@ -22,6 +22,7 @@ _PARTS = (
     ("error", "page|the page|this page|that item|this item you were looking for|that page you were looking for|the file you asked for|this resource you requested|the content|article|address|nothing here",
      "not found|was not found|could not be found|cannot be found|does not exist|no longer exists|is no longer available|is not available|has been removed|was deleted|is missing|is gone|has expired|was not located on this server|cannot be displayed"),
     ("error", "we could not|we cannot|we are unable to|sorry we can not", "find that page|find what you requested|locate the file|load this content|display the page|process your request"),
+    ("error", "the page you requested|the resource you are looking for|it|or one of its dependencies|the link you followed", "could not be found|could have been removed|had its name changed|may have been moved or deleted|is temporarily unavailable|has been removed or its address has changed"),
     ("error", "the server|our servers|the service|the application|the upstream service|the database|the website|an internal component",
      "failed to respond|did not respond in time|stopped answering|timed out|is unavailable|is temporarily unavailable|is currently unavailable|hit a snag|ran into a problem|is down for maintenance|is overloaded|cannot handle the request right now|encountered an error|has crashed|refused to connect"),
     ("error", "connection|request|session|gateway|database connection", "timed out|timeout|reset by peer|refused|failed|closed unexpectedly|aborted|error|was lost"),
