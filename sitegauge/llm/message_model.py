@@ -43,23 +43,30 @@ def _shape(tokens: tuple[str, ...]) -> list[str]:
     n = len(tokens)
     if n < 6:
         return []
-    out = [f"d:{4 * len(set(tokens)) // n}"]
-    if any(tokens[p:] == tokens[:-p] for p in range(1, n // 3 + 1)):
+    distinct = len(set(tokens))
+    out = [f"d:{4 * distinct // n}"]
+    if 3 * distinct <= 2 * n and any(tokens[p:] == tokens[:-p] for p in range(1, n // 3 + 1)):
         out.append("period")
     return out
 
 
+def _pairs(words: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Codes of neighbouring words, from the words' own codes; ``inside`` tells which neighbours share a line."""
+    mixed = (words[:-1].astype(np.uint64) * np.uint64(0x9E3779B1) + words[1:].astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(7)
+    return (mixed[inside] % np.uint64(SIZE)).astype(np.int64)
+
+
 class MessageModel:
-    """Weights, with the scores of words and lines met remembered in each worker."""
+    """Weights, with the scores of words met remembered in each worker."""
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray, known: frozenset[str]) -> None:
         self.weights, self.bias, self.known = weights, bias, known
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
-        self.pairs: dict[str, np.ndarray] = {}
-        self.lines: dict[tuple[str, ...], np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.codes = np.zeros(1024, np.int64)
+        self.scores = np.zeros((1024, len(CLASSES)), np.float32)
 
     def __getstate__(self) -> tuple[np.ndarray, np.ndarray, frozenset[str]]:
         return self.weights, self.bias, self.known
@@ -68,27 +75,39 @@ class MessageModel:
         self.weights, self.bias, self.known = state
         self._forget()
 
-    def odds(self, tokens: tuple[str, ...]) -> np.ndarray:
-        """Log odds of each class against ordinary (itself 0)."""
-        if (known := self.lines.get(tokens)) is not None:
-            return known
-        if len(self.lines) + len(self.pairs) > 400_000:
+    def _number(self, word: str) -> int:
+        self.words[word] = n = len(self.words)
+        if n == len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.codes[n] = _code(word)
+        for i, x in _word_features(word, self.known):
+            self.scores[n] += self.weights[i] * np.float32(x)
+        return n
+
+    def odds(self, lines: list[tuple[str, ...]]) -> np.ndarray:
+        """Log odds of each class against ordinary (itself 0), a row for each line; no line is empty."""
+        if len(self.words) > 400_000:
             self._forget()
-        total = np.zeros(len(CLASSES), np.float32)
-        for w in tokens:
-            if (v := self.words.get(w)) is None:
-                self.words[w] = v = sum((self.weights[i] * x for i, x in _word_features(w, self.known)), np.zeros(len(CLASSES), np.float32))
-            total += v
-        for a, b in zip(tokens, tokens[1:], strict=False):
-            pair = f"b:{a} {b}"
-            if (v := self.pairs.get(pair)) is None:
-                self.pairs[pair] = v = self.weights[_code(pair)]
-            total += v
-        z = self.bias + GAIN * total / max(1, len(tokens))
-        for name in _shape(tokens):
-            z = z + self.weights[_code(name)]
-        self.lines[tokens] = z = z - z[0]
-        return z
+        if not lines:
+            return np.zeros((0, len(CLASSES)), np.float32)
+        get = self.words.get
+        n = np.array([len(t) for t in lines])
+        ids = np.array([k if (k := get(w)) is not None else self._number(w) for t in lines for w in t])
+        first = np.cumsum(n) - n
+        total = np.add.reduceat(self.scores[ids], first, axis=0)
+        owner = np.repeat(np.arange(len(lines)), n)
+        inside = owner[:-1] == owner[1:]
+        if inside.any():
+            # rows of pairs lie in the order of lines; those of one word have none
+            many = n > 1
+            pairs = self.weights[_pairs(self.codes[ids], inside)]
+            total[many] += np.add.reduceat(pairs, (np.cumsum(n - 1) - (n - 1))[many], axis=0)
+        z = self.bias + GAIN * total / n[:, None]
+        for k, t in enumerate(lines):
+            for name in _shape(t):
+                z[k] += self.weights[_code(name)]
+        return z - z[:, :1]
 
 
 def _matrix(lines: list[tuple[str, ...]], known: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,8 +120,9 @@ def _matrix(lines: list[tuple[str, ...]], known: frozenset[str]) -> tuple[np.nda
                 words[w] = _word_features(w, known)
             for i, x in words[w]:
                 rows.append(r), cols.append(i), values.append(unit * x)
-        for a, b in zip(tokens, tokens[1:], strict=False):
-            rows.append(r), cols.append(_code(f"b:{a} {b}")), values.append(unit)
+        codes = np.array([_code(w) for w in tokens])
+        for c in _pairs(codes, np.ones(len(codes) - 1, bool)):
+            rows.append(r), cols.append(int(c)), values.append(unit)
         for name in _shape(tokens):
             rows.append(r), cols.append(_code(name)), values.append(1.0)
     return np.array(rows), np.array(cols), np.array(values)
@@ -151,5 +171,5 @@ def train(sample: Iterable[tuple[str, ...]]) -> MessageModel:
         weight = np.concatenate([1 / size[y[: len(told)]], np.full(len(own), total / max(LEAST, len(own)))]) / len(CLASSES)
         weights, bias = _fit(lines, known, y, weight)
         model = MessageModel(weights, bias, known)
-        own = [t for t in own if model.odds(t).max() < SURE]
+        own = [t for t, o in zip(own, model.odds(own), strict=True) if o.max() < SURE]
     return model

@@ -31,6 +31,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,14 +84,21 @@ def has_slot(text: str, alone: bool = False) -> bool:
     return bool((_MARK.search(text) and _SLOT.search(text)) or (alone and _FAILED.search(text)))
 
 
+_masked: dict[str, str] = {}
+
+
+def _mask(token: str) -> str:
+    bare = token.strip(".,;:!?…|-–()\"'")
+    if len(_masked) > 500_000:
+        _masked.clear()
+    _masked[token] = out = "<status>" if re.fullmatch(r"[45]\d\d", bare) else "<*>" if re.search(r"\d", bare) else bare
+    return out
+
+
 def mask(line: str) -> tuple[str, ...]:
     """Lower-case tokens of a line; numbers and codes with digits become slots, status codes stay told apart."""
-    out = []
-    for t in re.sub("['’]", " ", line.lower()).split():
-        bare = t.strip(".,;:!?…|-–()\"'")
-        if bare:
-            out.append("<status>" if re.fullmatch(r"[45]\d\d", bare) else "<*>" if any(c.isdigit() for c in bare) else bare)
-    return tuple(out)
+    known = _masked.get
+    return tuple(m for t in line.lower().replace("’", " ").replace("'", " ").split() if (m := k if (k := known(t)) is not None else _mask(t)))
 
 
 def sentences(block: str) -> list[tuple[str, ...]]:
@@ -106,40 +114,44 @@ def _blocks(html: str) -> tuple[list[tuple[str, str]], list[str]]:
     return body, [x for x in map(plain, _EDGE.split(_UNSEEN.sub(" ", _HEAD.sub(" ", html)))[::2]) if x]
 
 
-def page_lines(html: str | None, title: str | None, model: MessageModel) -> list[tuple] | None:
-    """Lines of a page within reach, as ``LINES`` without the id; None where a slot stands in it.
+Line = tuple[str, ...]
 
-    ``plain`` is the number of text blocks of the body without any such line, ``sentences`` the number of
-    sentences of the line's block and ``times`` how many of them it is, ``cover`` the block's share of the
-    body's words; ``fill`` tells whether the line is visible text, where filler and orders count.
-    """
-    titles = [title] if title else []
+
+def page_parts(html: str | None, title: str | None) -> tuple[list[tuple[str, bool, int, list[Line]]], list[Line], list[Line]] | None:
+    """Blocks (role, visible, words, sentences) of the body, and the sentences of titles and of what lies beside it; None where a slot stands."""
+    titles = [" ".join(title.split())] if title else []
     if html:
-        titles += _TITLE.findall(_UNSEEN.sub(" ", html))
-    titles = [x for t in titles if (x := plain(t) if t is not title else " ".join(t.split()))]
+        titles += [plain(t) for t in _TITLE.findall(_UNSEEN.sub(" ", html) if "<noscript" in html else html)]
     body, visible = _blocks(html) if html else ([], [])
     if any(has_slot(t, True) for t in titles + visible):
         return None
-    out: list[tuple] = []
     left = Counter(visible)
-    total = max(1, sum(text.count(" ") + 1 for _, text in body))
+    blocks = []
+    for role, text in body:
+        fill = left[text] > 0
+        left[text] -= fill
+        blocks.append((role, fill, text.count(" ") + 1, sentences(text)))
+    return blocks, [t for x in titles for t in sentences(x)], [t for x in left.elements() for t in sentences(x)]
+
 
-    def near(told: list[tuple[str, ...]]) -> list[tuple[str, int, list[float]]]:
-        odds = ((t, n, model.odds(t)[1:]) for t, n in Counter(told).items())
-        return [(" ".join(t), n, o.tolist()) for t, n, o in odds if o.max() > -REACH]
+def page_lines(parts: tuple[list[tuple[str, bool, int, list[Line]]], list[Line], list[Line]], odds: dict[Line, list[float]]) -> list[tuple]:
+    """Lines of a page within reach, as ``LINES`` without the id; ``odds`` has those lines.
 
+    ``plain`` is the number of text blocks of the body without any such line, ``sentences`` the number of
+    sentences of the line's block and ``times`` how many of them it is, ``cover`` the block's share of the
+    body's words; ``fill`` tells whether the line is visible text, where filler and orders count.
+    """
+    blocks, titles, beside = parts
+    out: list[tuple] = []
+    total = max(1, sum(words for _, _, words, _ in blocks))
     spare = 0
-    for k, (role, text) in enumerate(body):
-        fill = left[text] > 0
-        left[text] -= fill
-        told = sentences(text)
-        found = near(told)
+    for k, (role, fill, words, told) in enumerate(blocks):
+        found = [(t, n) for t, n in Counter(told).items() if t in odds]
         if not found:
             spare += role == "text" and bool(told)
-        cover = (text.count(" ") + 1) / total
-        out += [(role, k, len(told), fill, t, n, cover, *o) for t, n, o in found]
-    for role, texts in (("title", titles), ("beside", left.elements())):
-        out += [(role, -1, 1, True, t, 1, 0.0, *o) for t, _, o in near([t for x in texts for t in sentences(x)])]
+        out += [(role, k, len(told), fill, " ".join(t), n, words / total, *odds[t]) for t, n in found]
+    for role, told in (("title", titles), ("beside", beside)):
+        out += [(role, -1, 1, True, " ".join(t), 1, 0.0, *odds[t]) for t in dict.fromkeys(told) if t in odds]
     return [(*r[:4], spare, *r[4:]) for r in out]
 
 
@@ -180,12 +192,16 @@ def _scan(model: MessageModel):
         names = ["page_id", "role", "block", "sentences", "fill", "plain", "line", "times", "cover", *MESSAGES, "host", "failed"]
         for b in batches:
             rows: list[tuple] = []
-            for i, html, title, host, failed in zip(*(b.column(c).to_pylist() for c in ("page_id", "html", "title", "host", "failed")), strict=True):
-                found = page_lines(html, title, model)
-                if found is None:
-                    rows.append((i, "slot", -1, 1, True, 0, "", 1, 0.0, *[0.0] * len(MESSAGES), host, failed))
-                else:
-                    rows += [(i, *r, host, failed) for r in found]
+            for start in range(0, b.num_rows, 500):
+                part = b.slice(start, 500)
+                ids, hosts, failed = (part.column(c).to_pylist() for c in ("page_id", "host", "failed"))
+                told = [page_parts(h, t) for h, t in zip(part.column("html").to_pylist(), part.column("title").to_pylist(), strict=True)]
+                lines = list({t: None for p in told if p for t in (*(x for blk in p[0] for x in blk[3]), *p[1], *p[2])})
+                scores = model.odds(lines)[:, 1:]
+                odds = {lines[k]: scores[k].tolist() for k in np.flatnonzero(scores.max(1, initial=-np.inf) > -REACH)}
+                for i, p, host, bad in zip(ids, told, hosts, failed, strict=True):
+                    found = [("slot", -1, 1, True, 0, "", 1, 0.0, *[0.0] * len(MESSAGES))] if p is None else page_lines(p, odds)
+                    rows += [(i, *r, host, bad) for r in found]
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
