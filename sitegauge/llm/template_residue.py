@@ -49,10 +49,10 @@ BLOCK_PART, OUTWEIGH = 3, 2
 #: Leading tokens that choose the leaf, the share of equal tokens that joins a line to a template, parts of a leaf.
 DEPTH, CLOSE, PARTS = 2, 0.7, 16
 #: Most that pooled evidence can add to the odds of a template: status, share of the page, hosts.
-STATUS_MOST, COVER_MOST, HOSTS_MOST = 1.5, 1.0, 0.5
-REACH = STATUS_MOST + COVER_MOST + HOSTS_MOST
-#: Pages of the base rate that a template's error statuses are mixed with; odds that filler and orders must reach.
-SHRINK, FILLER_ODDS = 20, 2.0
+STATUS_MOST, COVER_MOST, HOSTS_MOST = 1.5, 1.0, 0.25
+#: Odds that messages, and filler and orders, must reach; pages of the base rate that error statuses are mixed with.
+MESSAGE_ODDS, FILLER_ODDS, SHRINK = 0.75, 2.0, 20
+REACH = STATUS_MOST + COVER_MOST + HOSTS_MOST - MESSAGE_ODDS
 MESSAGES = CLASSES[1:]
 
 #: Forms of unfilled variables, as template languages write them, and literals of failed ones.
@@ -277,7 +277,7 @@ def verdict(base: float) -> Column:
     cover = F.least(2 * F.col("cover") / F.greatest("seen", F.lit(1)) - 0.2, F.lit(COVER_MOST))
     unset = F.greatest(F.lit(64) - F.bit_count("hosts"), F.lit(1))
     hosts = F.least(F.log(F.greatest(F.lit(64.0) * F.log(F.lit(64.0) / unset), F.lit(1.0))) / 4, F.lit(HOSTS_MOST))
-    message, filler = status + cover + hosts, hosts - FILLER_ODDS
+    message, filler = status + cover + hosts - MESSAGE_ODDS, hosts - FILLER_ODDS
     scored = [F.struct((F.col(c) + (filler if c in ("filler", "order") else message)).alias("odds"), F.lit(c).alias("verdict")) for c in MESSAGES]
     best = F.array_max(F.array(*scored))
     return F.when(best["odds"] > 0, best["verdict"]).otherwise("ordinary")

@@ -53,7 +53,7 @@ def test_pages_to_exclude(spark):
 def test_templates_decide_what_a_line_alone_does_not(spark):
     """Lines that say little by themselves: an error where a template pools them over hosts and error statuses, else ordinary."""
     names = "brook cliff dale fjord glen heath inlet knoll ledge marsh notch oasis plain quarry ridge shoal tarn upland vale weir".split()
-    line = lambda k, x: (k, "text", 0, 1, True, 0, f"queue desk {x} closed entry <*>", 1, 1.0, -4.0, -2.0, -5.0, -5.0, -5.0, 1 << k, True)
+    line = lambda k, x: (k, "text", 0, 1, True, 0, f"queue desk {x} closed entry <*>", 1, 1.0, -4.0, -1.5, -5.0, -5.0, -5.0, 1 << k, True)
     rows = spark.createDataFrame([line(k, x) for k, x in enumerate(names)], template_residue.LINES + ", host long, failed boolean")
     pages = spark.createDataFrame([(k, 503 if k < 20 else 200) for k in range(600)], "page_id long, status_code int")
     told = lambda df: {r.line.split()[2]: r.verdict for r in template_residue.mined(df, pages)[1].collect()}
