@@ -28,19 +28,26 @@ def query(f: Query) -> Query:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return report.latest_pages(table(spark, d, "page_fetch"))
+    return table(spark, d, "page_fetch").filter("page_id is not null").withColumn("final_url", F.coalesce("final_url", "url"))
 
 
-def _inputs(spark: SparkSession, d: str) -> DataFrame:
-    return report.with_inputs(_pages(spark, d), table(spark, d, "site_resources"))
+def _inputs(spark: SparkSession, d: str, categories: tuple[str, ...] = checks.ALL, **more) -> DataFrame:
+    site = table(spark, d, "site_resources") if "robots" in categories else None
+    return report.with_inputs(table(spark, d, "page_fetch"), site, names=checks.needs(categories), **more)
 
 
-def _reports(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "page_report").dropDuplicates(["report_id"])
+def _facts(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """Every fetch with the named facts of its page; ``checks.latest`` comes after what is read off them."""
+    lean = _pages(spark, d).select("page_id", "url", "final_url", "fetched_at", "loaded_at", "html")
+    return dom.page_facts(lean, names).filter("facts is not null")
+
 
+def _latest(rows: DataFrame, *columns) -> DataFrame:
+    return checks.latest(rows.select("page_id", "fetched_at", "loaded_at", *columns))
 
-def _narrow(df: DataFrame) -> DataFrame:
-    return df.select("page_id", "check", "status")
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "page_report").dropDuplicates(["report_id"])
 
 
 @query
@@ -52,13 +59,13 @@ def score_page(spark, d):
 def score_slice(spark, d):
     """Score over the title, https and h1 rules alone."""
     rules = [checks.meta_tags()[0], *(checks.technical()[i] for i in (0, 5, 6))]
-    told = _inputs(spark, d).filter("facts is not null").select("page_id", F.flatten(F.array(*(r["signals"] for r in rules))).alias("s"))
-    told = told.select("page_id", *checks.counts(F.col("s")))
+    told = _inputs(spark, d, ("meta", "technical")).filter("facts is not null")
+    told = _latest(told, sum((r.signals for r in rules), F.lit(0)).alias("s")).select("page_id", *checks.counts(F.col("s")))
     return told.select("page_id", checks.score(F.col("passed"), F.col("warnings"), F.col("failed")).alias("score"))
 
 
 def _category(name: str) -> Query:
-    return lambda spark, d: _narrow(checks.checks(_inputs(spark, d), (name,)))
+    return lambda spark, d: checks.checks(_inputs(spark, d, (name,)), (name,)).drop("category", "ordinal")
 
 
 for _name, _category_name in {
@@ -68,71 +75,116 @@ for _name, _category_name in {
     _QUERIES[_name] = _category(_category_name)
 
 
+@query
+def links_check(spark, d):
+    """The links rule with liveness: a link answers as the fetch of its URL did."""
+    status = table(spark, d, "page_fetch").select("url", F.col("status_code").alias("status"))
+    return checks.checks(_inputs(spark, d, ("links",), link_status=status), ("links",)).drop("category", "ordinal")
+
+
+@query
+def link_liveness(spark, d):
+    """The links of each page, among its first twenty, that don't answer."""
+    status = table(spark, d, "page_fetch").select("url", F.col("status_code").alias("status"))
+    return report.broken_links(_facts(spark, d, "anchors"), status).select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "link", "status")
+
+
+@query
+def tls_check(spark, d):
+    """The certificate rule over certificates made up from host names, so that every branch is met."""
+    host = urls.host(F.col("final_url"))
+    hosts = _pages(spark, d).select(host.alias("host")).filter("host is not null").distinct()
+    days, now = F.length("host") * 7 % 60 - 15, F.lit("2025-01-01").cast("timestamp")
+    outcome = F.when(F.length("host") % 11 == 0, "timeout").when(F.length("host") % 13 == 0, "error").otherwise("ok")
+    tls = hosts.select("host", F.timestamp_add("DAY", days, now).alias("valid_to"), outcome.alias("outcome"))
+    told = checks.checks(_inputs(spark, d, ("security",), tls=tls, now=now), ("security",))
+    return told.filter("check = 'sslCertificate'").drop("category", "ordinal")
+
+
+def _all_checks(spark, d):
+    return checks.checks(_inputs(spark, d))
+
+
 @query
 def category_pivot(spark, d):
-    told = checks.checks(_inputs(spark, d))
-    return told.groupBy("category").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("pass", "warn", "fail")))
+    return _all_checks(spark, d).groupBy("category").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("pass", "warn", "fail")))
+
+
+@query
+def page_json(spark, d):
+    """The answer to a request for one page, as JSON."""
+    return report.json_bodies(_all_checks(spark, d))
 
 
 @query
 def heading_counts(spark, d):
-    f = dom.page_facts(_pages(spark, d).select("page_id", "html")).filter("facts is not null")
-    return f.select("page_id", F.size("facts.h1_texts").cast("bigint").alias("h1"), *(F.col(f"facts.{h}").cast("bigint").alias(h) for h in ("h2", "h3", "h4", "h5", "h6")))
+    counts = [F.size("facts.h1_texts").cast("bigint").alias("h1"), *(F.col(f"facts.{h}").cast("bigint").alias(h) for h in ("h2", "h3", "h4", "h5", "h6"))]
+    return _latest(_facts(spark, d, "h1_texts", "h2", "h3", "h4", "h5", "h6"), *counts)
 
 
 @query
 def element_counts(spark, d):
-    return dom.nodes(_pages(spark, d)).groupBy("tag").agg(F.count("*").alias("elements"))
+    told = _latest(dom.tag_counts(_pages(spark, d).select("page_id", "fetched_at", "loaded_at", "html")), F.map_entries("tags").alias("tags"))
+    return told.select(F.inline("tags")).groupBy(F.col("key").alias("tag")).agg(F.sum("value").alias("elements"))
 
 
 @query
 def links_extract(spark, d):
-    f = dom.page_facts(_pages(spark, d).select("page_id", F.coalesce("final_url", "url").alias("final_url"), "html"))
-    return report.page_links(f).select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "href", "link", "kind")
+    return report.page_links(_facts(spark, d, "anchors")).select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "href", "link", "kind")
 
 
 @query
 def link_counts(spark, d):
-    i = _inputs(spark, d).filter("facts is not null")
-    return i.select("page_id", *(F.col(c).cast("bigint").alias(c) for c in ("total_links", "internal_links", "external_links")))
+    told = _latest(_inputs(spark, d, ("links",)).filter("facts is not null"), "total_links", "internal_links", "external_links")
+    return told.select("page_id", *(F.col(c).cast("bigint").alias(c) for c in ("total_links", "internal_links", "external_links")))
 
 
 @query
 def link_set(spark, d):
-    f = dom.page_facts(_pages(spark, d).select("page_id", F.coalesce("final_url", "url").alias("final_url"), "html"))
-    return crawl.link_set(f)
+    return crawl.link_set(_facts(spark, d, "links", "base_href"))
+
+
+@query
+def link_set_browser(spark, d):
+    return crawl.link_set(_facts(spark, d, "links", "base_href"), crawl.BROWSER_KINDS)
 
 
 @query
 def page_size(spark, d):
-    mb = F.octet_length(F.encode("html", "UTF-8")).cast("bigint")
-    cents = F.floor((200 * mb + (1 << 20)) / (1 << 21)).cast("bigint")
-    return _pages(spark, d).filter("html <> ''").select("page_id", mb.alias("bytes"), cents.alias("mb_hundredths"))
+    size = F.octet_length(F.encode("html", "UTF-8")).cast("bigint")
+    told = _latest(_pages(spark, d).filter("html <> ''"), size.alias("bytes"))
+    return told.select("page_id", "bytes", checks.hundredths_of_mb(F.col("bytes")).alias("mb_hundredths"))
 
 
 @query
 def third_party_hosts(spark, d):
-    f = dom.page_facts(_pages(spark, d).select("page_id", F.coalesce("final_url", "url").alias("final_url"), "html"))
-    return f.filter("facts is not null").select("page_id", F.explode(checks.third_party_hosts()).alias("host"))
+    return _latest(_facts(spark, d, "script_srcs"), checks.third_party_hosts().alias("h")).select("page_id", F.explode("h").alias("host"))
 
 
 @query
 def json_ld_pages(spark, d):
-    f = dom.page_facts(_pages(spark, d).select("page_id", "html")).filter("facts is not null")
-    s = f.select("page_id", report.json_ld_summary("facts.json_ld").alias("s"))
+    s = _latest(_facts(spark, d, "json_ld"), report.json_ld_summary("facts.json_ld").alias("s"))
     return s.select("page_id", "s.count", "s.valid", F.array_join("s.errors", "; ").alias("errors"), F.array_join("s.types", ",").alias("types"))
 
 
+def _page_reports(spark, d):
+    return report.page_report(report.with_inputs(table(spark, d, "page_fetch"), names=report.NEEDS))
+
+
 @query
 def page_report_flat(spark, d):
-    r = report.page_report(_inputs(spark, d))
+    r = _page_reports(spark, d)
     return r.select("page_id", "url", "h1_count", "has_single_h1", "meta.title", "meta.description", "meta.canonical", F.col("json_ld.valid").alias("json_ld_valid"), "status", F.array_join("issues", "; ").alias("issues"))
 
 
 @query
 def site_report(spark, d):
-    r = report.page_report(_inputs(spark, d))
-    return report.with_site_sitemap(r, sitemaps.discovered(table(spark, d, "site_resources")).withColumnRenamed("sitemap", "sitemap_url")).select("page_id", "url", F.col("sitemap.url").alias("sitemap_url"), "status")
+    """Reports of the pages that the crawl of each site takes, in its order, with the site's sitemap."""
+    crawled = _crawl(spark, d).select("url", F.col("position").alias("page_no"))
+    pages = _page_reports(spark, d).withColumn("canonical", urls.canonical(F.col("url")))
+    found = pages.join(crawled.withColumnRenamed("url", "canonical"), "canonical").drop("canonical")
+    maps = sitemaps.discovered(table(spark, d, "site_resources")).withColumnRenamed("sitemap", "sitemap_url")
+    return report.with_site_sitemap(found, maps).select("page_id", "url", "page_no", F.col("sitemap.url").alias("sitemap_url"), "status")
 
 
 @query
@@ -225,6 +277,82 @@ def csv_lines(spark, d):
     return export.crawl_lines(_reports(spark, d))
 
 
+@query
+def crawl_file(spark, d):
+    return export.crawl_file(_reports(spark, d), F.lit("2025-01-01").cast("timestamp")).select(F.col("line_no").cast("bigint").alias("line_no"), "report_id", "line")
+
+
+@query
+def crawl_print_summary(spark, d):
+    return export.status_lines(_reports(spark, d))
+
+
+@query
+def crawl_json(spark, d):
+    return export.crawl_json(_reports(spark, d))
+
+
+@query
+def request_answer(spark, d):
+    """Crawl requests made up of fetched addresses and numbers of pages, right and wrong."""
+    n = F.when(F.col("page_id") % 4 == 0, F.lit(None)).when(F.col("page_id") % 4 == 1, "many").otherwise((F.col("page_id") % 1500).cast("string"))
+    rows = table(spark, d, "page_fetch").select(F.when(F.col("page_id") % 7 > 0, F.col("url")).alias("url"), n.alias("max_pages")).distinct()
+    return export.request_answer(rows)
+
+
+@query
+def export_names(spark, d):
+    now = F.coalesce("analyzed_at", F.lit("2025-01-01").cast("timestamp"))
+    return _reports(spark, d).select("report_id", export.file_name("page-report", F.col("url"), now, "csv").alias("name"))
+
+
+@query
+def region_list(spark, d):
+    return rollups.regions(_reports(spark, d)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def displayed_counts(spark, d):
+    return rollups.displayed(_reports(spark, d))
+
+
+@query
+def security_header_flags(spark, d):
+    return rollups.security_headers(checks.checks(_inputs(spark, d, ("security",)), ("security",)))
+
+
+@query
+def crawlable_counts(spark, d):
+    """How many distinct links of each host's pages are crawlable and how many aren't."""
+    g = table(spark, d, "link_graph").select("src", "dst").distinct()
+    told = g.select(urls.host(F.col("src")).alias("host"), urls.crawlable(F.col("dst"), F.col("src")).alias("c"))
+    return told.groupBy("host").agg(F.count_if("c").alias("crawlable"), F.count_if(~F.col("c")).alias("not_crawlable"))
+
+
+@query
+def url_typed(spark, d):
+    """Addresses as a user types them: without scheme, with blanks, with none."""
+    u = table(spark, d, "page_fetch").select("url", (F.crc32("url") % 4).alias("k")).distinct()
+    bare = F.regexp_replace("url", "^https?://", "")
+    typed = F.when(F.col("k") == 0, F.concat(F.lit("  "), bare)).when(F.col("k") == 1, F.col("url")).when(F.col("k") == 2, F.concat(F.lit("a b "), "url")).otherwise(F.lit(" "))
+    rows = u.select(typed.alias("typed")).distinct()
+    return rows.select("typed", urls.valid_input(F.col("typed")).alias("valid"), urls.with_scheme(F.col("typed"), True).alias("full"))
+
+
+@query
+def url_browser_internal(spark, d):
+    g = table(spark, d, "link_graph").filter("dst is not null").select("src", "dst").distinct()
+    base = F.concat(F.lit("https://"), urls.bare_host(urls.host(F.col("src"))), F.lit("/"))
+    return g.select("src", "dst", urls.browser_internal(F.col("dst"), base, F.col("src")).alias("internal"))
+
+
+@query
+def check_words(spark, d):
+    """Names of checks as words."""
+    keys = spark.createDataFrame([(r.check,) for rules in checks.CATEGORIES.values() for r in rules()], "check string")
+    return keys.select("check", rollups.words_of_key(F.col("check")).alias("words"))
+
+
 @query
 def print_lines(spark, d):
     return export.report_lines(_reports(spark, d)).select("report_id", F.col("line_no").cast("bigint").alias("line_no"), "text", "style")
@@ -232,7 +360,27 @@ def print_lines(spark, d):
 
 @query
 def page_csv_lines(spark, d):
-    return export.page_lines(checks.checks(_inputs(spark, d)))
+    return export.page_lines(_all_checks(spark, d)).select("page_id", F.col("ordinal").cast("bigint").alias("ordinal"), "line")
+
+
+def _page_file(spark, d):
+    inputs = staged(_inputs(spark, d))
+    counts = checks.latest(inputs.filter("facts is not null").select("page_id", "url", "fetched_at", "loaded_at", "total_links", "internal_links", "external_links"))
+    return checks.checks(inputs), report.audit(inputs), counts
+
+
+@query
+def page_csv(spark, d):
+    """The whole single-page export as numbered lines: preamble, summary, checks, links, broken links."""
+    rows, scores, counts = _page_file(spark, d)
+    broken = link_liveness(spark, d)
+    return export.page_file(rows, scores, counts, broken)
+
+
+@query
+def page_print_lines(spark, d):
+    rows, scores, counts = _page_file(spark, d)
+    return export.page_print(rows, scores, link_liveness(spark, d))
 
 
 @query
@@ -274,13 +422,41 @@ def _roots(fetched):
     return fetched.groupBy(urls.bare_host(urls.host(F.col("url"))).alias("site")).agg(F.min("url").alias("url"))
 
 
-@query
-def crawl_bfs(spark, d):
+def _crawl(spark, d):
     fetched = _fetched(spark, d)
     seeds = crawl.crawl_seeds(_sitemap_pages(spark, d), _roots(fetched))
     return crawl.breadth_first(seeds, crawl.canonical_edges(table(spark, d, "link_graph")), fetched)
 
 
+@query
+def crawl_bfs(spark, d):
+    return _crawl(spark, d)
+
+
+@query
+def crawl_batches(spark, d):
+    """The crawled pages of each site in batches of five, as they are analysed together."""
+    return _crawl(spark, d).select("site", "url", F.floor((F.col("position") - 1) / 5).cast("bigint").alias("batch"))
+
+
+@query
+def crawl_browser(spark, d):
+    fetched = _fetched(spark, d)
+    shown = crawl.rendered_pages(table(spark, d, "page_fetch")).select(urls.canonical(F.col("url")).alias("url"))
+    edges = crawl.canonical_edges(table(spark, d, "link_graph"))
+    return crawl.browser_crawl(_sitemap_pages(spark, d), _roots(fetched), edges, shown, fetched)
+
+
+@query
+def redirect_chains(spark, d):
+    """Redirects as fetches tell them: a URL whose final URL is another one redirects there."""
+    p = table(spark, d, "page_fetch").select("url", "status_code", "final_url").distinct()
+    moved = F.col("final_url").isNotNull() & (F.col("final_url") != F.col("url"))
+    told = p.select("url", F.when(moved, 301).otherwise(F.col("status_code")).alias("status"), F.when(moved, F.col("final_url")).alias("location"))
+    out = crawl.redirect_chains(p.select("url").distinct(), told)
+    return out.select("url", "final_url", F.col("hops").cast("bigint").alias("hops"), "http_redirects", "outcome")
+
+
 @query
 def crawl_sitemap_first(spark, d):
     return crawl.sitemap_first(_sitemap_pages(spark, d), _fetched(spark, d))
@@ -316,7 +492,15 @@ def log_events(spark, d):
 
 @query
 def log_frames(spark, d):
-    return logs.frames(logs.events(table(spark, d, "crawl_log"))).distinct()
+    return logs.stream_frames(logs.events(table(spark, d, "crawl_log"))).distinct()
+
+
+@query
+def log_arguments(spark, d):
+    """Log rows as a logging call's arguments (its message, a number, an object), put together again."""
+    args = F.array(F.to_json(F.struct("message")).substr(F.lit(12), F.length(F.to_json(F.struct("message"))) - 12), F.col("log_id").cast("string"), F.lit('{"n":1}'))
+    rows = table(spark, d, "crawl_log").filter("message <> ''").select("log_id", "message").distinct()
+    return rows.select("log_id", logs.stringified(args).alias("text"))
 
 
 @query

@@ -149,6 +149,19 @@ def with_scheme(url: Column, force_https: bool = False) -> Column:
     return F.regexp_replace(full, "^http://", "https://") if force_https else full
 
 
+def valid_input(text: Column) -> Column:
+    """Whether a typed address is a URL once https is put before one without a scheme; null and blank ones aren't."""
+    typed = js_trim(text)
+    full = F.when(typed.startswith("http"), typed).otherwise(F.concat(F.lit("https://"), typed))
+    return F.coalesce((typed != "") & full.rlike(r"^(?i)https?:/*[^\s/?#:@]+(?::\d{1,5})?(?:[/?#]|$)"), F.lit(False))
+
+
+def browser_internal(url: Column, base: Column, page: Column) -> Column:
+    """Whether a browser crawl takes a link for its site's own: host of the base or of the page, www or not, or no host."""
+    name = bare_host(host(url))
+    return F.coalesce((name == bare_host(host(base))) | (name == bare_host(host(page))) | (origin(url) == origin(page)), url.isNotNull() & host(url).isNull())
+
+
 def counted_link(href: Column) -> Column:
     """Whether an anchor counts as a link of its page: not empty, a fragment, a script or a mail address."""
     return F.coalesce((href != "") & ~href.rlike("^(?:#|javascript:|mailto:)"), F.lit(False))

@@ -2,21 +2,24 @@
 
 A crawl is breadth-first over tables: the frontier of a depth joins the link table, loses what was seen by
 an anti join, and is cut to the free slots of its site in first-seen order. Every depth is written to the
-shared folder, so plans stay short and a lost executor costs one depth at most.
+shared folder as one more part of what was seen, so plans stay short and a lost executor costs one depth at most.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegauge.functions import urls
-from sitegauge.plans.staging import staged
+from sitegauge.operators.checks import latest
+from sitegauge.plans.staging import StagedParts, staged
 
 #: Kinds of links that a browser follows; ``link_set`` follows all.
 BROWSER_KINDS = ("a", "area", "form", "link", "data")
+#: Sitemap pages below which a browser crawl follows links too, and how many of them come before the root.
+FEW_LISTED, BEFORE_ROOT = 10, 3
 
 
 def link_set(facts: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -26,14 +29,19 @@ def link_set(facts: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFram
     stays. A page's ``base`` changes what relative links mean, not which host is its own.
     """
     base = F.coalesce(urls.resolve(F.col("facts.base_href"), F.col("final_url")), F.col("final_url"))
-    rows = facts.select("page_id", "final_url", base.alias("base"), F.posexplode("facts.links").alias("at", "l")).select("page_id", "final_url", "base", "at", "l.*")
-    if kinds:
-        rows = rows.filter(F.col("kind").isin(*kinds))
-    rows = rows.withColumns({"resolved": urls.resolve(F.trim("raw"), F.col("base")), "canonical": urls.canonical(F.col("raw"), F.col("base"))})
-    rows = rows.filter(urls.crawlable(F.col("resolved"), F.col("final_url")))
-    first = rows.groupBy("page_id", "canonical").agg(F.min_by(F.struct("at", "kind", "raw", "resolved"), "at").alias("f"))
-    ordinal = F.row_number().over(Window.partitionBy("page_id").orderBy("f.at"))
-    return first.select("page_id", ordinal.alias("ordinal"), "f.kind", "f.raw", "f.resolved", "canonical")
+    found = F.filter("facts.links", lambda l: l["kind"].isin(*kinds)) if kinds else F.col("facts.links")
+
+    def seen(l: Column) -> Column:
+        return F.struct(l["kind"].alias("kind"), l["raw"].alias("raw"), urls.resolve(F.trim(l["raw"]), F.col("base")).alias("resolved"), urls.canonical(l["raw"], F.col("base")).alias("canonical"))
+
+    rows = facts.filter("facts is not null").select("page_id", "fetched_at", "loaded_at", "final_url", base.alias("base"), found.alias("found"))
+    own = F.filter(F.transform("found", seen), lambda x: urls.crawlable(x["resolved"], F.col("final_url")))
+    rows = latest(rows.select("page_id", "fetched_at", "loaded_at", own.alias("own")))
+    # the first of the links with one canonical form stays, inside the page's own row
+    forms = F.transform("own", lambda x: x["canonical"])
+    first = F.filter("own", lambda x, i: F.array_position(forms, x["canonical"]) == i + 1)
+    rows = rows.select("page_id", F.posexplode(first).alias("at", "l"))
+    return rows.select("page_id", (F.col("at") + 1).alias("ordinal"), "l.kind", "l.raw", "l.resolved", "l.canonical")
 
 
 def canonical_edges(graph: DataFrame) -> DataFrame:
@@ -59,20 +67,19 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, fetched: DataFrame, max_pa
     order = Window.partitionBy("site").orderBy("position", "url")
     first = seeds.filter("url is not null").groupBy("site", "url").agg(F.min("position").alias("position")).join(alive, "url", "left_semi")
     first = first.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= max_pages)
-    frontier = staged(first.select("site", "url", F.lit(0).alias("depth"), F.col("position").cast("bigint").alias("position")))
-    seen = frontier
+    seen = StagedParts(seeds.sparkSession)
+    frontier = seen.add(first.select("site", "url", F.lit(0).alias("depth"), F.col("position").cast("bigint").alias("position")))
     for depth in count(1):
+        taken = seen.all().groupBy("site").agg(F.count("*").alias("taken")).filter(F.col("taken") < max_pages)
         step = frontier.select("site", F.col("url").alias("src"), F.col("position").alias("before")).join(edges, ["site", "src"])
         new = step.groupBy("site", F.col("dst").alias("url")).agg(F.min(F.struct("before", "ordinal")).alias("place"))
-        new = new.join(seen, ["site", "url"], "left_anti").join(alive, "url", "left_semi")
-        taken = seen.groupBy("site").agg(F.count("*").alias("taken"))
+        new = new.join(seen.all().select("site", "url"), ["site", "url"], "left_anti").join(alive, "url", "left_semi")
+        # the limit on the rank is applied in every task before sites meet, so a large site never gathers in one
         rank = F.row_number().over(Window.partitionBy("site").orderBy("place", "url"))
-        new = new.withColumn("rank", rank).join(taken, "site").filter(F.col("rank") + F.col("taken") <= max_pages)
-        frontier = staged(new.select("site", "url", F.lit(depth).alias("depth"), (F.col("rank") + F.col("taken")).alias("position")))
+        new = new.withColumn("rank", rank).filter(F.col("rank") <= max_pages).join(taken, "site").filter(F.col("rank") + F.col("taken") <= max_pages)
+        frontier = seen.add(new.select("site", "url", F.lit(depth).alias("depth"), (F.col("rank") + F.col("taken")).alias("position")))
         if not frontier.limit(1).count():
-            break
-        seen = staged(seen.unionByName(frontier))
-    return seen
+            return seen.all()
 
 
 def sitemap_listed(sitemap_urls: DataFrame, roots: DataFrame) -> DataFrame:
@@ -114,6 +121,23 @@ def sitemap_first(sitemap_urls: DataFrame, fetched: DataFrame, max_pages: int =
     return rows.unionByName(roots).groupBy("site", "url").agg(F.min("position").alias("position")).join(alive, "url", "left_semi").select("site", "url", "position")
 
 
+def browser_crawl(sitemap_urls: DataFrame, roots: DataFrame, edges: DataFrame, rendered: DataFrame, fetched: DataFrame, max_pages: int = 200) -> DataFrame:
+    """(site, url, depth, position): the crawl of a browser, which renders pages.
+
+    Sitemap pages come first, the root after the first ``BEFORE_ROOT`` of them. Links are followed only on sites
+    that list fewer than ``FEW_LISTED`` pages, depth by depth. ``rendered`` (url) are pages that a browser shows;
+    on a site with none of them, ``fetched`` (url), what plain requests get, stands in. Else as ``breadth_first``.
+    """
+    listed = staged(sitemap_listed(sitemap_urls, roots).filter(F.col("position") <= max_pages))
+    own = roots.join(listed.select("site", "url"), ["site", "url"], "left_anti").select("site", "url", F.lit(BEFORE_ROOT + 0.5).alias("position"))
+    seeds = listed.withColumn("position", F.col("position").cast("double")).unionByName(own)
+    many = listed.groupBy("site").agg(F.count("*").alias("n")).filter(F.col("n") >= FEW_LISTED).select("site")
+    site = urls.bare_host(urls.host(F.col("url"))).alias("site")
+    shown = staged(rendered.filter("url is not null").select("url", site).distinct())
+    silent = fetched.filter("url is not null").select("url", site).distinct().join(shown.select("site").distinct(), "site", "left_anti")
+    return breadth_first(seeds, edges.join(many, "site", "left_anti"), shown.select("url").unionByName(silent.select("url")), max_pages)
+
+
 def crawl_statistics(crawled: DataFrame, sitemap_urls: DataFrame, roots: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per site in ``roots``, of what its crawl met.
 
@@ -154,7 +178,7 @@ def redirect_chains(start: DataFrame, redirects: DataFrame, hops: int = 5) -> Da
     ``redirects`` is (url, status, location). outcome is ok, 'HTTP n' for another status than 200, or
     'too many redirects'. A hop to, or a start at, a plain http address marks the row.
     """
-    told = redirects.groupBy("url").agg(F.max_by(F.struct("status", "location"), "status").alias("r"))
+    told = redirects.groupBy("url").agg(F.max(F.struct("status", "location")).alias("r"))
     now = start.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), F.col("url").startswith("http://").alias("http_redirects"), F.lit(None).cast("string").alias("outcome"))
     for _ in range(hops + 1):
         step = now.join(told.select(F.col("url").alias("final_url"), "r"), "final_url", "left")

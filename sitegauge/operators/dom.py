@@ -7,6 +7,7 @@ All audit rules are column expressions over these facts, so the Python boundary
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,24 +20,44 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Fixed values of HTML and of the audit.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SEMANTIC = frozenset("nav main article section aside header footer figure figcaption".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTROLS = frozenset(("input", "textarea", "select"))
 FOCUSABLE = frozenset(("a", "button", "input", "select", "textarea"))
 CONSENT = ("cookie", "consent", "gdpr", "privacy")
 LINK_RELS = ("canonical", "alternate", "next", "prev")
 DATA_URLS = tuple(f"data-{x}" for x in "url href link path route to navigate navigation page page-url page-path".split())
-#: What may stand before a quoted URL in a script.
-_ASSIGNED = ["href", "url", "path", "route"]
-_CALLS = [
-    r"location\.href\s*=", r"window\.location\s*=", r"location\.replace\s*\(", r"location\.assign\s*\(", r"location\.pathname\s*=",
-    r"router\.(?:push|replace)\s*\(", r"router\.(?:push|replace)\s*\(\s*\{[^}]*path\s*[:=]", r"navigate\s*\(", r"navigate\s*\(\s*\{[^}]*to\s*[:=]",
-    r"history\.(?:push|replace)\s*\(", r"history\.(?:push|replace)\s*\(\s*\{[^}]*pathname\s*[:=]", r"Link\s+.*href\s*=", r"useRouter\(\)\.push\s*\(",
-    r"<(?:Nav)?Link[^>]+to\s*=", r"this\.\$router\.(?:push|replace)\s*\(", r"router-link.*to\s*=", r"data-[\w-]+-(?:url|href|path)\s*=",
-]
-_QUOTED_KEYS = ["url", "href", "link", "path", "route", "pathname", "to"]
-_HEADS = [*(rf"{k}\s*[:=]" for k in _ASSIGNED), *_CALLS, *(rf"[\"']{k}[\"']\s*:" for k in _QUOTED_KEYS)]
-_HEADS += [rf"\[[^\]]*\{{[^}}]*{k}\s*[:=]" for k in ("path", "url")]
-_SCRIPT_URLS = [re.compile(rf"{h}\s*[\"']([^\"']+)[\"']", re.I) for h in _HEADS]
-_HINT = re.compile(r"href|url|path|route|location|navigate|history|router|link|[\"']to[\"']", re.I)
+#: What stands before a quoted text of a script that makes it a URL: a name or place it is given
+#: to, the quoted key of an object, a function that takes it; in an object that such a function takes, or in the
+#: tag of a link component, some more names.
+URL_NAMES = ("href", "url", "path", "route", "window.location", "location.pathname")
+URL_KEYS = ("url", "href", "link", "path", "route", "pathname", "to")
+URL_CALLS = ("location.replace", "location.assign", "router.push", "router.replace", "navigate", "history.push", "history.replace", "userouter().push")
+OBJECT_NAMES, TAG_NAMES = ("path", "pathname", "to"), ("to",)
+NOT_URLS = ("javascript:", "#", "mailto:", "tel:")
+_GIVEN = re.compile(r"""([:=(])\s*["']([^"']+)["']""")
+_EDGES = re.compile(rf"(?P<object>(?:{'|'.join(map(re.escape, URL_CALLS))})\s*\(\s*\{{)|(?P<tag><(?:nav)?link\b|router-link\b)|[}}>]", re.I)
+_LONGEST = 2 + max(map(len, URL_NAMES + URL_KEYS + URL_CALLS))
+
+
+def script_urls(body: str) -> list[str]:
+    """Quoted texts of a script, in order, that what stands before them makes URLs; one pass, whatever the text."""
+    out = []
+    edges = _EDGES.finditer(body)
+    edge, within = next(edges, None), ""
+    for m in _GIVEN.finditer(body):
+        while edge and edge.end() <= m.start():
+            within = edge.lastgroup or ("" if (edge[0] == "}") == (within == "object") else within)
+            edge = next(edges, None)
+        end = m.start()
+        while end and body[end - 1].isspace():
+            end -= 1
+        head = body[max(0, end - _LONGEST) : end].lower()
+        named = head.endswith(URL_NAMES) or (within == "object" and head.endswith(OBJECT_NAMES)) or (within == "tag" and m[1] == "=" and head.endswith(TAG_NAMES))
+        keyed = m[1] == ":" and any(head.endswith((f'"{k}"', f"'{k}'")) for k in URL_KEYS)
+        if (head.endswith(URL_CALLS) if m[1] == "(" else named or keyed) and len(m[2]) > 1 and not m[2].startswith(NOT_URLS):
+            out.append(m[2])
+    return out
+
 
 LINK = T.StructType([T.StructField("kind", T.StringType()), T.StructField("raw", T.StringType())])
 FACTS = T.StructType(
@@ -64,53 +85,92 @@ NODES = "page_id long, node_id int, parent_id int, depth int, tag string, attrs
 
 
 class _Tree(HTMLParser):
-    """Elements in document order with an open-element stack; no tree repair beyond unmatched tags."""
+    """Elements in document order with an open-element stack; no tree repair beyond unmatched tags.
+
+    Text is kept once, in pieces; an element knows the first and last piece inside it. So a page costs time
+    in proportion to its length, however deep it nests and whatever it leaves unclosed.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tags: list[str] = []
         self.attrs: list[dict[str, str]] = []
         self.parents: list[int] = []
-        self.text: list[list[str]] = []
+        self.pieces: list[str] = []
+        self.start: list[int] = []
+        self.end: list[int | None] = []
+        #: Whether an element stands in a label or noscript element.
+        self.labelled: list[bool] = []
+        self.fallback: list[bool] = []
+        #: Pieces so far that aren't blank, before each piece.
+        self.solid = [0]
         self.open: list[int] = []
+        self.opened: Counter[str] = Counter()
+
+    def _close(self, depth: int) -> None:
+        while len(self.open) > depth:
+            i = self.open.pop()
+            self.end[i] = len(self.pieces)
+            self.opened[self.tags[i]] -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         mine: dict[str, str] = {}
         for k, v in attrs:
             mine.setdefault(k, v or "")
-        if tag in ("p", "li") and self.open and self.tags[self.open[-1]] == tag:
-            self.open.pop()
+        last = self.tags[self.open[-1]] if self.open else ""
+        if (tag in ("p", "li") and last == tag) or (tag in HEADINGS and last in HEADINGS):
+            self._close(len(self.open) - 1)
         self.tags.append(tag)
         self.attrs.append(mine)
         self.parents.append(self.open[-1] if self.open else -1)
-        self.text.append([])
-        if tag not in VOID:
+        self.start.append(len(self.pieces))
+        self.labelled.append(self.opened["label"] > 0)
+        self.fallback.append(self.opened["noscript"] > 0)
+        if tag in VOID:
+            self.end.append(len(self.pieces))
+        else:
+            self.end.append(None)
             self.open.append(len(self.tags) - 1)
+            self.opened[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.tags[self.open[k]] == tag:
-                del self.open[k:]
-                return
+        if self.opened[tag] > 0:
+            k = len(self.open) - 1
+            while self.tags[self.open[k]] != tag:
+                k -= 1
+            self._close(k)
 
     def handle_data(self, data: str) -> None:
-        for i in self.open:
-            self.text[i].append(data)
+        self.pieces.append(data)
+        self.solid.append(self.solid[-1] + (not data.isspace()))
 
     def read(self, html: str) -> _Tree:
         self.feed(html)
         self.close()
+        self._close(0)
         return self
 
     def all_text(self, i: int) -> str:
-        return "".join(self.text[i])
+        return "".join(self.pieces[self.start[i] : self.end[i]])
 
-    def inside(self, i: int, tag: str) -> bool:
-        while i >= 0:
-            if self.tags[i] == tag:
-                return True
-            i = self.parents[i]
-        return False
+    def empty(self, i: int) -> bool:
+        """Whether an element holds no text but white space."""
+        return self.solid[self.start[i]] == self.solid[self.end[i]]
+
+    def own_texts(self) -> list[str]:
+        """The text that lies in each element and in no element below it."""
+        own: list[list[str]] = [[] for _ in self.tags]
+        stack: list[int] = []
+        i = 0
+        for k, piece in enumerate(self.pieces):
+            while i < len(self.tags) and self.start[i] <= k:
+                stack.append(i)
+                i += 1
+            while stack and self.end[stack[-1]] <= k:
+                stack.pop()
+            if stack:
+                own[stack[-1]].append(piece)
+        return ["".join(x) for x in own]
 
 
 def facts(html: str) -> dict:
@@ -137,7 +197,7 @@ def facts(html: str) -> dict:
         src, href = a.get("src", ""), a.get("href", "")
         if tag == "title":
             titles.append(t.all_text(i))
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        elif tag in HEADINGS:
             headings.append(int(tag[1]))
             if tag == "h1":
                 h1.append(t.all_text(i).strip())
@@ -183,7 +243,7 @@ def facts(html: str) -> dict:
             out["mixed_content"] += src.startswith("http://")
         elif tag == "iframe":
             out["mixed_content"] += src.startswith("http://")
-            out["tag_manager"] |= "googletagmanager.com" in src and t.inside(i, "noscript")
+            out["tag_manager"] |= "googletagmanager.com" in src and t.fallback[i]
         elif tag == "script":
             body = t.all_text(i)
             if "src" in a:
@@ -198,9 +258,7 @@ def facts(html: str) -> dict:
             out["pixel"] |= "fbq(" in body or "facebook.net" in body
             out["tracking"] |= any(x in src for x in ("google-analytics", "googletagmanager", "facebook.net")) or any(x in body for x in ("gtag(", "fbq(", "dataLayer"))
             out["consent"] |= "cookie" in body and ("consent" in body or "accept" in body)
-            if _HINT.search(body):
-                for p in _SCRIPT_URLS:
-                    links += [("script", 6, u) for u in p.findall(body) if len(u) > 1 and not u.startswith(("javascript:", "#", "mailto:", "tel:"))]
+            links += [("script", 6, u) for u in script_urls(body)]
         elif tag == "a":
             if "href" in a:
                 anchors.append(href)
@@ -214,7 +272,7 @@ def facts(html: str) -> dict:
                 links.append(("form", 4, a["action"]))
         if tag in CONTROLS:
             out["controls"] += 1
-            named = (a.get("id") and a["id"] in fors) or a.get("aria-label") or a.get("aria-labelledby") or t.inside(t.parents[i], "label")
+            named = (a.get("id") and a["id"] in fors) or a.get("aria-label") or a.get("aria-labelledby") or t.labelled[i]
             out["unlabelled"] += a.get("type", "").lower() != "hidden" and not named
         out["semantic"] += tag in SEMANTIC
         out["divs"] += tag == "div"
@@ -224,7 +282,7 @@ def facts(html: str) -> dict:
             out["aria_issues"] += a.get("aria-required") == "true" and "required" not in a
             out["aria_issues"] += a.get("aria-hidden") == "true" and (tag in FOCUSABLE or "tabindex" in a)
             if (tag == "button" or (tag == "a" and "href" not in a)) and nameless:
-                out["aria_issues"] += not t.all_text(i).strip()
+                out["aria_issues"] += t.empty(i)
             if tag in FOCUSABLE or "tabindex" in a:
                 m = re.match(r"\s*([+-]?\d+)", a.get("tabindex", ""))
                 out["keyboard_issues"] += bool(m) and int(m[1]) > 0
@@ -238,7 +296,7 @@ def facts(html: str) -> dict:
                 if value.strip():
                     links.append(("data", 7, value))
         elif tag in ("button", "a"):
-            out["aria_issues"] += not t.all_text(i).strip()
+            out["aria_issues"] += t.empty(i)
     links.sort(key=lambda x: x[1])
     out |= {
         "title": "".join(titles).strip() or None, "meta": meta, "prop": prop, "h1_texts": h1, "headings": headings, "anchors": anchors,
@@ -248,12 +306,14 @@ def facts(html: str) -> dict:
     return out
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """``pages`` with its html replaced by struct ``facts``; null where html is null or empty.
 
-    A page that can't be parsed has null facts and ``failed`` true. All other columns of the input stay.
+    ``names`` are the facts that are wanted, all if none are named; the others are not sent to the JVM. A page
+    that can't be parsed has null facts and ``failed`` true. All other columns of the input stay.
     """
-    schema = T.StructType([f for f in pages.schema if f.name != "html"] + [T.StructField("facts", FACTS), T.StructField("failed", T.BooleanType())])
+    wanted = FACTS if names is None else T.StructType([f for f in FACTS if f.name in names])
+    schema = T.StructType([f for f in pages.schema if f.name != "html"] + [T.StructField("facts", wanted), T.StructField("failed", T.BooleanType())])
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,23 +337,38 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """One row per element of every page: see ``NODES``. Null or empty html has none."""
+    """One row per element of every page: see ``NODES``; text is the element's own. Null or empty html has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
+        names = ["page_id", "node_id", "parent_id", "depth", "tag", "attrs", "text"]
         for b in batches:
+            rows: list[tuple] = []
             for page, html in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
                 t = _Tree().read(html)
                 depth: list[int] = []
                 for p in t.parents:
                     depth.append(0 if p < 0 else depth[p] + 1)
-                n = len(t.tags)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([page] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(t.parents, pa.int32()), pa.array(depth, pa.int32()),
-                        pa.array(t.tags, pa.string()), pa.array([list(a.items()) for a in t.attrs], pa.map_(pa.string(), pa.string())),
-                        pa.array([t.all_text(i).strip() for i in range(n)], pa.string()),
-                    ],
-                    ["page_id", "node_id", "parent_id", "depth", "tag", "attrs", "text"],
-                )
+                rows += zip([page] * len(depth), range(len(depth)), t.parents, depth, t.tags, (list(a.items()) for a in t.attrs), (x.strip() for x in t.own_texts()), strict=True)
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return pages.filter(F.length("html") > 0).select("page_id", "html").mapInArrow(run, NODES)
+
+
+def tag_counts(pages: DataFrame) -> DataFrame:
+    """(page_id, tags): the number of elements of each tag of a page, counted where the page is parsed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.map_(pa.string(), pa.int64())
+        for b in batches:
+            told = [list(Counter(_Tree().read(html).tags).items()) for html in b.column("html").to_pylist()]
+            cols = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != "html"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(told, kind)], [*(n for n in b.schema.names if n != "html"), "tags"])
+
+    lean = pages.filter(F.length("html") > 0)
+    schema = T.StructType([f for f in lean.schema if f.name != "html"] + [T.StructField("tags", T.MapType(T.StringType(), T.LongType()))])
+    return lean.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,11 @@ from sitegauge.functions import urls
 from sitegauge.functions.text import blank_to_null
 from sitegauge.operators import checks as C
 from sitegauge.operators.dom import page_facts
+from sitegauge.plans.staging import join_by_group, join_small, staged
 
 LIVENESS_LIMIT = 20
+#: Page facts that a page report reads.
+NEEDS = ("title", "canonical", "meta", "prop", "h1_texts", "h2", "h3", "h4", "h5", "h6", "json_ld", "sitemap_href")
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 
 
@@ -30,81 +33,105 @@ SUMMARY = T.StructType(
 )
 
 
-def latest_pages(pages: DataFrame) -> DataFrame:
-    """One row per page_id: repeated rows collapse, of differing ones the latest fetch stays."""
-    others = [c for c in pages.columns if c != "page_id"]
-    pick = F.max_by(F.struct(*others), F.struct("fetched_at", "loaded_at")) if {"fetched_at", "loaded_at"} <= set(others) else F.any_value(F.struct(*others))
-    return pages.filter("page_id is not null").groupBy("page_id").agg(pick.alias("row")).select("page_id", "row.*")
-
-
-def with_inputs(pages: DataFrame, site: DataFrame | None = None, tls: DataFrame | None = None, link_status: DataFrame | None = None, now: Column | None = None) -> DataFrame:
-    """Pages with facts and everything the rules read; see ``checks``.
+def with_inputs(
+    pages: DataFrame, site: DataFrame | None = None, tls: DataFrame | None = None, link_status: DataFrame | None = None,
+    now: Column | None = None, names: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Pages with facts and everything the rules read; see ``checks``. Repeated pages stay, for ``checks.latest``.
 
     ``site`` is (url, status, body) of fetched site resources, ``tls`` (host, valid_to, outcome) and
-    ``link_status`` (url, status); each may be absent. A header map's keys become lower-case.
+    ``link_status`` (url, status); each may be absent. A header map's keys become lower-case. ``names`` are the
+    page facts wanted, all if none are named.
     """
-    lean = pages.withColumns(
+    stamps = {c: F.lit(None).cast("timestamp") for c in ("fetched_at", "loaded_at") if c not in pages.columns}
+    lean = pages.filter("page_id is not null").withColumns(
         {
             "html_bytes": F.octet_length(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).cast("bigint"),
             "final_url": F.coalesce("final_url", "url"),
             "headers": F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]), e["value"]))),
+            **stamps,
         }
-    ).select("page_id", "url", "final_url", "status_code", "headers", "response_ms", "http_redirects", "html_bytes", "html")
-    out = page_facts(lean)
+    ).select("page_id", "url", "final_url", "status_code", "headers", "response_ms", "http_redirects", "html_bytes", "fetched_at", "loaded_at", "html")
+    out = page_facts(lean, names)
     out = out.withColumn("site_host", urls.host(F.col("final_url")))
     if site is not None:
         told = site.filter("status = 200 and body is not null").filter(urls.path(F.col("url")) == "/robots.txt")
-        told = told.groupBy(urls.host(F.col("url")).alias("site_host")).agg(F.min("body").alias("robots"))
-        out = out.join(told, "site_host", "left")
+        told = told.groupBy(urls.host(F.col("url")).alias("site_host")).agg(F.min(F.lower("body")).alias("body"))
+        flags = F.struct(F.lit(True).alias("there"), F.contains("body", F.lit("disallow: /")).alias("closed"), F.contains("body", F.lit("sitemap:")).alias("named"))
+        out = join_small(out, told.select("site_host", flags.alias("robots")), ["site_host"])
     else:
-        out = out.withColumn("robots", F.lit(None).cast("string"))
+        out = out.withColumn("robots", F.lit(None).cast("struct<there boolean, closed boolean, named boolean>"))
     if tls is not None:
         days = F.floor((F.unix_millis("valid_to") - F.unix_millis(now if now is not None else F.current_timestamp())) / 86_400_000)
-        certs = tls.groupBy(F.lower("host").alias("site_host")).agg(F.max_by(days, "valid_to").alias("tls_days"), F.max_by("outcome", "valid_to").alias("tls_outcome"))
-        out = out.join(certs, "site_host", "left")
+        certs = tls.groupBy(F.lower("host").alias("site_host")).agg(F.max(F.struct("valid_to", days.alias("days"), "outcome")).alias("c"))
+        certs = certs.select("site_host", F.col("c.days").alias("tls_days"), F.col("c.outcome").alias("tls_outcome"))
+        out = join_small(out, certs, ["site_host"])
     else:
         out = out.withColumns({"tls_days": F.lit(None).cast("bigint"), "tls_outcome": F.lit(None).cast("string")})
-    return out.join(link_counts(out, link_status), "page_id", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("total_links", "internal_links", "external_links", "broken_links")})
+    if names is not None and "anchors" not in names:
+        return out
+    out = out.withColumns(link_counts())
+    if link_status is None:
+        return out.withColumn("broken_links", F.lit(0))
+    broken = broken_links(out, link_status).groupBy("page_id").agg(F.count("*").cast("int").alias("broken_links"))
+    return out.join(broken, "page_id", "left").withColumn("broken_links", F.coalesce("broken_links", F.lit(0)))
+
+
+def _links() -> Column:
+    """Array of (href, link, kind): the counted anchors of a page in order, duplicates included."""
+    page = F.col("final_url")
+
+    def link(h: Column) -> Column:
+        return urls.let(urls.resolve(h, page), lambda u: F.struct(h.alias("href"), u.alias("link"), urls.link_kind(u, page).alias("kind")))
+
+    return F.transform(F.filter("facts.anchors", urls.counted_link), link)
 
 
 def page_links(facts: DataFrame) -> DataFrame:
-    """(page_id, ordinal, href, link, kind): the counted anchors of each page, duplicates included."""
-    rows = facts.select("page_id", "final_url", F.posexplode("facts.anchors").alias("at", "href")).filter(urls.counted_link(F.col("href")))
-    link = urls.resolve(F.col("href"), F.col("final_url"))
-    rows = rows.withColumn("link", link).withColumn("kind", urls.link_kind(F.col("link"), F.col("final_url")))
-    ordinal = F.row_number().over(Window.partitionBy("page_id").orderBy("at"))
-    return rows.select("page_id", ordinal.alias("ordinal"), "href", "link", "kind")
+    """(page_id, ordinal, href, link, kind) of each counted anchor of each page, numbered from 1."""
+    rows = C.latest(facts.filter("facts is not null").select("page_id", "fetched_at", "loaded_at", _links().alias("l")))
+    return rows.select("page_id", F.posexplode("l").alias("at", "l")).select("page_id", (F.col("at") + 1).alias("ordinal"), "l.*")
 
 
-def link_counts(facts: DataFrame, link_status: DataFrame | None = None) -> DataFrame:
-    """(page_id, total_links, internal_links, external_links, broken_links) of pages with links.
+def link_counts() -> dict[str, Column]:
+    """Columns total_links, internal_links and external_links, counted inside the page's own row; 0 without facts."""
+    kinds = F.transform(F.filter("facts.anchors", urls.counted_link), lambda h: urls.link_kind(urls.resolve(h, F.col("final_url")), F.col("final_url")))
+    both = urls.let(kinds, lambda k: F.struct(F.size(k).alias("n"), F.size(F.filter(k, lambda x: x == "internal")).alias("inner")))
+    n, inner = F.coalesce(both["n"], F.lit(0)), F.coalesce(both["inner"], F.lit(0))
+    return {"total_links": n, "internal_links": inner, "external_links": n - inner}
 
-    Without liveness data nothing is broken, and everything is counted inside the page's own row. With it,
-    the first ``LIVENESS_LIMIT`` links of a page are looked up; a link is broken from status 400 on, and
-    where there is no status.
+
+def broken_links(facts: DataFrame, link_status: DataFrame) -> DataFrame:
+    """(page_id, ordinal, link, status): those of the first ``LIVENESS_LIMIT`` links of a page that don't answer.
+
+    ``link_status`` is (url, status). A link is broken from status 400 on, and where there is no status.
     """
-    if link_status is None:
-        kinds = F.transform(F.filter("facts.anchors", urls.counted_link), lambda h: urls.link_kind(urls.resolve(h, F.col("final_url")), F.col("final_url")))
-        own = facts.filter("facts is not null").select("page_id", kinds.alias("k"))
-        inner = F.size(F.filter("k", lambda x: x == "internal"))
-        return own.select("page_id", F.size("k").alias("total_links"), inner.alias("internal_links"), (F.size("k") - inner).alias("external_links"), F.lit(0).alias("broken_links"))
-    rows = page_links(facts)
-    state = link_status.groupBy(F.col("url").alias("link")).agg(F.max("status").alias("status"))
-    rows = rows.join(state, "link", "left")
-    broken = (F.col("ordinal") <= LIVENESS_LIMIT) & (F.col("status").isNull() | (F.col("status") >= 400))
-    return rows.groupBy("page_id").agg(
-        F.count("*").cast("int").alias("total_links"), F.count_if(F.col("kind") == "internal").cast("int").alias("internal_links"),
-        F.count_if(F.col("kind") == "external").cast("int").alias("external_links"), F.count_if(broken).cast("int").alias("broken_links"),
-    )
+    rows = page_links(facts).filter(F.col("ordinal") <= LIVENESS_LIMIT).select("page_id", "ordinal", "link")
+    state = link_status.filter("url is not null").groupBy(F.col("url").alias("link")).agg(F.max("status").alias("status"))
+    # every distinct link is looked up once, so that a link of a third of all pages is no hot key
+    counted = staged(rows.groupBy("link").agg(F.count("*").alias("n")).join(state, "link", "left").filter("status is null or status >= 400"))
+    total = int(counted.agg(F.sum("n")).first()[0] or 0)
+    found = join_by_group(rows.filter("link is not null"), counted.filter("link is not null"), ["link"], "n", total)
+    return found.unionByName(rows.filter("link is null").withColumn("status", F.lit(None).cast(found.schema["status"].dataType))).select("page_id", "ordinal", "link", "status")
 
 
-def audit(inputs: DataFrame, categories: tuple[str, ...] = tuple(C.CATEGORIES)) -> DataFrame:
+def audit(inputs: DataFrame, categories: tuple[str, ...] = C.ALL) -> DataFrame:
     """(page_id, url, passed, warnings, failed, score) of every page with facts."""
-    told = inputs.filter("facts is not null").select("page_id", "url", C.all_signals(categories).alias("s"))
-    told = told.select("page_id", "url", *C.counts(F.col("s")))
+    told = inputs.filter("facts is not null").select("page_id", "url", "fetched_at", "loaded_at", C.all_signals(categories).alias("s"))
+    told = C.latest(told).select("page_id", "url", *C.counts(F.col("s")))
     return told.withColumn("score", C.score(F.col("passed"), F.col("warnings"), F.col("failed")))
 
 
+def json_bodies(checks: DataFrame) -> DataFrame:
+    """(page_id, body): the audit of each page as one JSON text, checks in their order, nulls kept."""
+    each = F.struct("ordinal", "category", "check", "status", "value")
+    told = checks.groupBy("page_id").agg(F.array_sort(F.collect_list(each)).alias("checks"), *(F.sum(b).alias(b) for b in C.BUCKETS))
+    total = C.score(*(F.col(b) for b in C.BUCKETS))
+    rows = F.transform("checks", lambda c: F.struct(c["category"].alias("category"), c["check"].alias("check"), c["status"].alias("status"), c["value"].alias("value")))
+    body = F.struct(F.lit(True).alias("success"), "page_id", total.alias("score"), *C.BUCKETS, rows.alias("checks"))
+    return told.select("page_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
+
+
 @F.pandas_udf(SUMMARY)
 def json_ld_summary(scripts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Validity and types of a page's structured-data scripts.
@@ -183,7 +210,7 @@ def page_report(facts: DataFrame) -> DataFrame:
     size = F.coalesce(F.size(f("h1_texts")), F.lit(0))
     size = F.when(F.col("facts").isNull(), 0).otherwise(size)
     base = facts.select(
-        "page_id", "url", "failed", size.alias("h1_count"),
+        "page_id", "url", "fetched_at", "loaded_at", "failed", size.alias("h1_count"),
         F.filter(F.coalesce(f("h1_texts"), F.array().cast("array<string>")), lambda x: x != "").alias("h1_texts"),
         (size == 1).alias("has_single_h1"), F.struct(*(F.coalesce(f(h), F.lit(0)).alias(h) for h in ("h2", "h3", "h4", "h5", "h6"))).alias("heading_counts"),
         F.struct(f("title").alias("title"), *(C.meta(n).alias(n) for n in ("description", "keywords", "robots")), f("canonical").alias("canonical")).alias("meta"),
@@ -197,7 +224,8 @@ def page_report(facts: DataFrame) -> DataFrame:
         "json_ld", F.struct((F.col("ld.count") > 0).alias("present"), "ld.valid", "ld.count", "ld.errors", "ld.types", "data")
     ).withColumn("sitemap", F.struct(F.col("sitemap_url").isNotNull().alias("present"), F.col("sitemap_url").alias("url"))).drop("ld", "data", "sitemap_url")
     issues = F.when(F.col("failed"), F.array(F.lit("analysis failed"))).otherwise(page_issues())
-    return base.withColumn("issues", issues).withColumn("status", F.when(F.col("failed"), "fail").otherwise(page_status(F.col("issues")))).drop("failed")
+    base = base.withColumn("issues", issues).withColumn("status", F.when(F.col("failed"), "fail").otherwise(page_status(F.col("issues"))))
+    return C.latest(base.drop("failed"))
 
 
 def with_site_sitemap(reports: DataFrame, sitemaps: DataFrame) -> DataFrame:

@@ -27,17 +27,42 @@ def by_locale(reports: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.size(F.filter(all_orders, lambda o: o <= order)))
 
 
+def regions(reports: DataFrame) -> DataFrame:
+    """(display_name, pages, rank): the regions that a site has, if they are more than one."""
+    found = by_locale(reports).select("display_name", "pages", "rank")
+    return found.join(F.broadcast(found.agg(F.count("*").alias("all"))), F.col("all") > 1).drop("all")
+
+
+def displayed(reports: DataFrame) -> DataFrame:
+    """(view, locale, shown, total): how many of all reports each view of each locale shows; locale 'all' is every one."""
+    counts = [F.count_if(c).alias(v) for v, c in _views().items()]
+    by = reports.groupBy(locale_of(F.col("url"))["locale"].alias("locale")).agg(*counts)
+    whole = by.agg(*(F.sum(v).alias(v) for v in _views())).withColumn("locale", F.lit("all"))
+    rows = by.unionByName(whole).select("locale", F.inline(F.array(*(F.struct(F.lit(v).alias("view"), F.col(v).alias("shown")) for v in _views()))))
+    total = reports.agg(F.count("*").alias("total"))
+    return rows.join(F.broadcast(total)).select("view", "locale", F.coalesce("shown", F.lit(0)).alias("shown"), "total")
+
+
+def security_headers(checks: DataFrame) -> DataFrame:
+    """(page_id, secure_headers): whether both the content policy and the frame options of a page pass."""
+    told = checks.filter(F.col("check").isin("contentSecurityPolicy", "xFrameOptions"))
+    return told.groupBy("page_id").agg((F.count_if(F.col("status") == "pass") == 2).alias("secure_headers"))
+
+
 def status_counts(reports: DataFrame) -> DataFrame:
     return reports.agg(F.count("*").alias("pages"), *(F.count_if(F.col("status") == s).alias(s) for s in ("pass", "warn", "fail")))
 
 
-def filtered(reports: DataFrame, view: str = "all", locale: str | None = None) -> DataFrame:
-    """Reports of a view: all, failed, missingH1 (any page without exactly one) or missingDescription."""
-    views = {
+def _views() -> dict[str, Column]:
+    return {
         "all": F.lit(True), "failed": F.col("status") == "fail", "missingH1": ~F.coalesce("has_single_h1", F.lit(False)),
         "missingDescription": F.coalesce(F.col("meta.description") == "", F.lit(True)),
     }
-    out = reports.filter(views[view])
+
+
+def filtered(reports: DataFrame, view: str = "all", locale: str | None = None) -> DataFrame:
+    """Reports of a view: all, failed, missingH1 (any page without exactly one) or missingDescription."""
+    out = reports.filter(_views()[view])
     return out if locale is None else out.filter(locale_of(F.col("url"))["locale"] == locale)
 
 

@@ -33,7 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of it: lineage ends here."""
+    """Write ``df`` once to the shared folder and return a reader of it: lineage ends here.
+
+    Results are read lazily, so what a query staged must outlive it; ``drop_staged`` removes it, and so does the
+    end of the process.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -41,9 +45,29 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class StagedParts:
+    """A table that grows by parts, each written once; all parts read as one scan."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.schema, self.parts = spark, f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}", None, 0
+        _made.append((spark, self.root))
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a part and return a reader of it."""
+        path = f"{self.root}/{self.parts}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.schema, self.parts = df.schema, self.parts + 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{k}" for k in range(self.parts)))
+
+
 @atexit.register
-def _drop_staged() -> None:
-    for spark, path in _made:
+def drop_staged() -> None:
+    """Delete all staged tables made so far; to be called between queries of a long session."""
+    while _made:
+        spark, path = _made.pop()
         try:
             jvm = spark.sparkContext._jvm
             place = jvm.org.apache.hadoop.fs.Path(path)
@@ -66,3 +90,18 @@ def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], count: st
     hot_rows = rows.join(F.broadcast(hot), keys)
     cold_rows = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return hot_rows.unionByName(cold_rows)
+
+
+#: Rows up to which a table counts as small.
+SMALL = 1_000_000
+
+
+def join_small(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a table of one narrow row per key: broadcast if it has at most ``SMALL`` rows.
+
+    Beyond that the join is a shuffled one whose hot keys adaptive execution splits (those of ``rows`` can be
+    split in a left join).
+    """
+    table = staged(table)
+    small = table.limit(SMALL + 1).count() <= SMALL
+    return rows.join(F.broadcast(table) if small else table, keys, "left")
