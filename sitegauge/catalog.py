@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitegauge import oracles
 from sitegauge.functions import urls
 from sitegauge.operators import checks, crawl, dom, export, nested, report, rollups
-from sitegauge.plans.staging import staged
+from sitegauge.plans.staging import spread, staged
 from sitegauge.sources import sitemaps
 from sitegauge.streaming import logs
 
@@ -39,7 +39,7 @@ def _inputs(spark: SparkSession, d: str, categories: tuple[str, ...] = checks.AL
 def _facts(spark: SparkSession, d: str, *names: str) -> DataFrame:
     """Every fetch with the named facts of its page; ``checks.latest`` comes after what is read off them."""
     lean = _pages(spark, d).select("page_id", "url", "final_url", "fetched_at", "loaded_at", "html")
-    return dom.page_facts(lean, names).filter("facts is not null")
+    return dom.page_facts(spread(lean), names).filter("facts is not null")
 
 
 def _latest(rows: DataFrame, *columns) -> DataFrame:
@@ -124,7 +124,7 @@ def heading_counts(spark, d):
 
 @query
 def element_counts(spark, d):
-    told = _latest(dom.tag_counts(_pages(spark, d).select("page_id", "fetched_at", "loaded_at", "html")), F.map_entries("tags").alias("tags"))
+    told = _latest(dom.tag_counts(spread(_pages(spark, d).select("page_id", "fetched_at", "loaded_at", "html"))), F.map_entries("tags").alias("tags"))
     return told.select(F.inline("tags")).groupBy(F.col("key").alias("tag")).agg(F.sum("value").alias("elements"))
 
 

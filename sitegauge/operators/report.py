@@ -15,7 +15,7 @@ from sitegauge.functions import urls
 from sitegauge.functions.text import blank_to_null
 from sitegauge.operators import checks as C
 from sitegauge.operators.dom import page_facts
-from sitegauge.plans.staging import join_by_group, join_small, staged
+from sitegauge.plans.staging import join_by_group, join_small, spread, staged
 
 LIVENESS_LIMIT = 20
 #: Page facts that a page report reads.
@@ -52,7 +52,7 @@ def with_inputs(
             **stamps,
         }
     ).select("page_id", "url", "final_url", "status_code", "headers", "response_ms", "http_redirects", "html_bytes", "fetched_at", "loaded_at", "html")
-    out = page_facts(lean, names)
+    out = page_facts(spread(lean), names)
     out = out.withColumn("site_host", urls.host(F.col("final_url")))
     if site is not None:
         told = site.filter("status = 200 and body is not null").filter(urls.path(F.col("url")) == "/robots.txt")

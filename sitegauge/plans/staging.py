@@ -92,6 +92,19 @@ def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], count: st
     return hot_rows.unionByName(cold_rows)
 
 
+#: Bytes of input below which a few files may be too few tasks.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs dealt out to all cores, since a small file is often one row group, hence one task; others as they are.
+
+    For what comes before work in Python. Large inputs have tasks enough, and there texts never move.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
+
+
 #: Rows up to which a table counts as small.
 SMALL = 1_000_000
 
