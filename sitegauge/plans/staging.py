@@ -76,15 +76,15 @@ def drop_staged() -> None:
             return
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, share: float = HOT_SHARE) -> DataFrame:
     """Inner join of ``rows`` with one row per key in ``groups``, safe where one key holds most rows.
 
     ``groups`` has the number of its rows in column ``count`` (dropped from the result). Keys with at
-    least ``HOT_SHARE`` of ``total`` rows number at most ``1 / HOT_SHARE``, so broadcasting just those
+    least ``share`` of ``total`` rows number at most ``1 / share``, so broadcasting just those
     is bounded whatever the input; their rows are joined where they lie. All others take a shuffled
     join in which no key is hot. Both inputs must be cheap to read twice. Null keys match nothing.
     """
-    bound = max(1, int(total * HOT_SHARE))
+    bound = max(1, int(total * share))
     hot = groups.filter(F.col(count) >= bound).drop(count)
     cold = groups.filter(F.col(count) < bound).drop(count)
     hot_rows = rows.join(F.broadcast(hot), keys)
