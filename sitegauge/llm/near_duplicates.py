@@ -12,7 +12,9 @@
    Members of a star whose hub edge verifies are paired in turn (friends of a friend), until nothing
    new appears: work follows the verified links, not the bucket's size.
 
-The threshold, not a cap, decides what is returned; no partner, bucket or candidate is dropped.
+The threshold, not a cap, decides what is returned; no partner, bucket or candidate is dropped. Hashing itself
+is a chance: 80 bands of 4 miss a pair at similarity 0.5 with a chance of 0.6 %, at 0.6 of 0.001 %; so does a star
+for a pair whose members both lie below LINK to the hubs of all bands that they share.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.text import normal_text, words_of
 from sitegauge.operators.html import main_text
-from sitegauge.plans.staging import join_by_group, staged
+from sitegauge.plans.staging import StagedParts, join_by_group, spread, staged
 
 SHINGLE = 3
 THRESHOLD = 0.5
@@ -37,6 +39,8 @@ BANDS = BINS // ROWS
 SKETCH = 128
 #: A pair whose sketches agree on fewer positions than this share can't reach LINK but by a freak.
 SKETCH_SHARE = 0.2
+#: A hub counts as hot from this share of all pairs on; at most 1/share hubs travel with their texts.
+HUB_SHARE = 1e-2
 MIN_WORDS = {"html": 40, "description": 12}
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -144,7 +148,7 @@ def _main_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def page_words(pages: DataFrame) -> DataFrame:
     """(id, words) of pages whose main text is long enough; columns page_id and html are read."""
-    src = pages.filter("page_id is not null and html is not null").select(F.col("page_id").alias("id"), "html")
+    src = spread(pages.filter("page_id is not null and html is not null").select(F.col("page_id").alias("id"), "html"))
     return src.mapInArrow(_main_words, "id long, words string")
 
 
@@ -226,43 +230,76 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _beside(pairs: DataFrame, table: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:
+    """Staged pairs with a column of ``table`` (field, rep, ...) for either side; a hub of most pairs is no hot key."""
+    total = pairs.count()
+    rest = [c for c in pairs.columns if c not in ("field", "a", "b")]
+    found = pairs
     for side, name in zip(("a", "b"), names, strict=True):
-        pairs = pairs.join(table.select("field", F.col("rep").alias(side), F.col(value).alias(name)), ["field", side])
-    return pairs
+        degree = pairs.groupBy("field", side).agg(F.count("*").alias("n"))
+        own = table.select("field", F.col("rep").alias(side), F.col(value).alias(name)).join(degree, ["field", side])
+        found = join_by_group(found, own, ["field", side], "n", total, HUB_SHARE)
+    return found.select("field", "a", "b", *rest, *names)
 
 
 def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs with their exact similarity where it is at least LINK."""
+    """Staged pairs with their exact similarity where it is at least LINK."""
     wide = _beside(pairs, reps, "words", ("wa", "wb")).select("field", "a", "b", "star", "wa", "wb")
     return wide.mapInArrow(_exact, "field string, a long, b long, star boolean, similarity double").filter(F.col("similarity") >= LINK)
 
 
-def similar_classes(reps: DataFrame) -> DataFrame:
-    """(field, a, b, similarity) for every pair of class representatives found at THRESHOLD or more."""
+def star_links(reps: DataFrame) -> DataFrame:
+    """(field, a, b, star, similarity): the links at LINK or more among small buckets and the stars of large ones.
+
+    Their number grows with the number of texts, however many of them are alike.
+    """
     signed = staged(reps.mapInArrow(_sign, "field string, rep long, bands array<long>, sketch binary"))
-    edges = candidate_edges(signed.select("field", "rep", "bands"))
+    edges = staged(candidate_edges(signed.select("field", "rep", "bands")))
     near = _beside(edges, signed, "sketch", ("sa", "sb")).select("field", "a", "b", "star", "sa", "sb")
-    near = near.mapInArrow(_agree, "field string, a long, b long, star boolean")
-    links = staged(verified(near, reps))
-    fresh = links.filter("star")
+    return staged(verified(staged(near.mapInArrow(_agree, "field string, a long, b long, star boolean")), reps))
+
+
+def similar_classes(reps: DataFrame) -> DataFrame:
+    """(field, a, b, similarity) for every pair of class representatives found at THRESHOLD or more."""
+    links = StagedParts(reps.sparkSession)
+    fresh = links.add(star_links(reps)).filter("star")
     while fresh.limit(1).count():
-        # only pairs that a verified link joined in this round are extended
-        both = links.select("field", "a", "b").unionByName(links.select("field", F.col("b").alias("a"), F.col("a").alias("b")))
+        # only pairs that a verified link joined in this round are extended; each round finds new pairs or is the last
+        known = links.all().select("field", "a", "b")
+        both = known.unionByName(known.select("field", F.col("b").alias("a"), F.col("a").alias("b")))
         ends = fresh.select("field", F.col("a").alias("hub"), F.col("b").alias("x"))
         ends = ends.unionByName(fresh.select("field", F.col("b").alias("hub"), F.col("a").alias("x")))
         hop = ends.join(both.select("field", F.col("a").alias("hub"), F.col("b").alias("y")), ["field", "hub"]).filter("x != y")
         new = hop.select("field", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = new.join(links, ["field", "a", "b"], "left_anti").withColumn("star", F.lit(True))
-        fresh = staged(verified(new, reps))
-        links = staged(links.unionByName(fresh)) if fresh.limit(1).count() else links
-    return links.filter(F.col("similarity") >= THRESHOLD).drop("star")
+        new = staged(new.join(known, ["field", "a", "b"], "left_anti").withColumn("star", F.lit(True)))
+        fresh = links.add(verified(new, reps))
+    return links.all().filter(F.col("similarity") >= THRESHOLD).drop("star")
 
 
-def page_classes(pages: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Representatives, members of classes above one, and similar pairs of representatives."""
+def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(field, rep, label): the smallest representative that links lead to, for each of ``nodes`` (field, rep).
+
+    Labels are handed along links until none changes, each round also to what the label itself was given, so the
+    number of rounds grows with the logarithm of the longest chain. A hub of most links is no hot key.
+    """
+    ends = staged(links.select("field", F.col("a").alias("rep"), F.col("b").alias("near")).unionByName(links.select("field", F.col("b").alias("rep"), F.col("a").alias("near"))))
+    total = ends.count()
+    degree = staged(ends.groupBy("field", "near").agg(F.count("*").alias("n")))
+    labels = staged(nodes.select("field", "rep", F.col("rep").alias("label")))
+    while True:
+        told = join_by_group(ends, degree.join(labels.withColumnRenamed("rep", "near"), ["field", "near"]), ["field", "near"], "n", total)
+        step = labels.unionByName(told.select("field", "rep", "label")).groupBy("field", "rep").agg(F.min("label").alias("label"))
+        sizes = step.groupBy("field", F.col("label").alias("via")).agg(F.count("*").alias("n"))
+        jump = sizes.join(labels.select("field", F.col("rep").alias("via"), F.col("label").alias("further")), ["field", "via"])
+        new = staged(join_by_group(staged(step).withColumnRenamed("label", "via"), staged(jump), ["field", "via"], "n", nodes.count()).select("field", "rep", F.least("via", "further").alias("label")))
+        if not new.join(labels, ["field", "rep", "label"], "left_anti").limit(1).count():
+            return new
+        labels = new
+
+
+def page_reps(pages: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Representatives and members of classes of equal texts, of both fields."""
     field = lambda df, name: df.select(F.lit(name).alias("field"), "id", "words")
-    reps, members = classes(field(page_words(pages), "html").unionByName(field(description_words(reports), "description")))
-    return reps, members, similar_classes(reps)
+    return classes(field(page_words(pages), "html").unionByName(field(description_words(reports), "description")))
 
 
 def near_duplicate_pages(pages: DataFrame, reports: DataFrame) -> DataFrame:
@@ -271,7 +308,8 @@ def near_duplicate_pages(pages: DataFrame, reports: DataFrame) -> DataFrame:
     Null ids, null or short texts never pair; repeated rows count once; empty tables give no row;
     other columns of the inputs are ignored.
     """
-    _, members, pairs = page_classes(pages, reports)
+    reps, members = page_reps(pages, reports)
+    pairs = similar_classes(reps)
     own = members.select("field", "id", "rep")
     for side in ("a", "b"):
         copies = own.select("field", F.col("rep").alias(side), F.col("id").alias(f"page_id_{side}"))
@@ -283,14 +321,18 @@ def near_duplicate_pages(pages: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(pages: DataFrame, reports: DataFrame) -> DataFrame:
-    """(field, page_id, class_id, links): one row per page, copies never expanded into pairs.
+    """(field, page_id, text_id, class_id): one row per page of a long enough text; no class is expanded into pairs.
 
-    ``class_id`` is the smallest page id with the same words, ``links`` the number of other classes
-    similar to it. Same treatment of nulls, short texts and repeats as ``near_duplicate_pages``.
+    ``text_id`` is the smallest page id with the same words, ``class_id`` the smallest that a chain of links at
+    THRESHOLD or more leads to. Only star links are verified, so the work grows with the pages even where a third
+    of them are alike. Same treatment of nulls, short texts and repeats as ``near_duplicate_pages``.
     """
-    reps, members, pairs = page_classes(pages, reports)
-    ends = pairs.select("field", F.col("a").alias("rep")).unionByName(pairs.select("field", F.col("b").alias("rep")))
-    links = ends.groupBy("field", "rep").agg(F.count("*").alias("links"))
-    everyone = members.unionByName(reps.select("field", F.col("rep").alias("id"), "rep")).distinct()
-    out = everyone.join(links, ["field", "rep"], "left")
-    return out.select("field", F.col("id").alias("page_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    reps, members = page_reps(pages, reports)
+    links = star_links(reps).filter(F.col("similarity") >= THRESHOLD).select("field", "a", "b")
+    own = reps.select("field", "rep")
+    labels = grouped(own, links)
+    everyone = members.unionByName(own.select("field", F.col("rep").alias("id"), "rep")).distinct()
+    sizes = everyone.groupBy("field", "rep").agg(F.count("*").alias("n"))
+    everyone = staged(everyone)
+    out = join_by_group(everyone, staged(labels.join(sizes, ["field", "rep"])), ["field", "rep"], "n", everyone.count())
+    return out.select("field", F.col("id").alias("page_id"), F.col("rep").alias("text_id"), F.col("label").alias("class_id"))
