@@ -19,9 +19,14 @@ FIELDS = ("title", "description", "status", "h1Count", "robots")
 
 
 def canonical(payload: Column, *others: Column) -> Column:
-    """Canonical text of a record: words of each field, absent, null and empty alike, fields kept apart."""
-    told = F.from_json(payload, ", ".join(f"{f} STRING" for f in FIELDS))
-    parts = [*others, *(told[f] for f in FIELDS)]
+    """Canonical text of a record: words of each field, absent, null and empty alike, fields kept apart.
+
+    A payload that isn't JSON has no fields; its own words tell it from others and from one without words.
+    Letters count as they are encoded: composed and decomposed ones are different words, as words are defined.
+    """
+    schema = ", ".join(f"{f} STRING" for f in (*FIELDS, "broken"))
+    told = F.from_json(payload, schema, {"columnNameOfCorruptRecord": "broken"})
+    parts = [*others, *(told[f] for f in FIELDS), told["broken"]]
     return F.concat_ws("\u0001", *(F.coalesce(normal_text(p), F.lit("")) for p in parts))
 
 
@@ -52,7 +57,7 @@ def _grouped(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def copies(feed: DataFrame) -> DataFrame:
     """(feed_id_first, feed_id_copy): one row for each record that isn't the first of its group.
 
-    Null ids are left out; null and invalid payloads have no words; an empty table gives no row.
+    Null ids are left out; null payloads have no words, invalid ones only their own; an empty table gives no row.
     """
     rows, found = _grouped(feed)
     total = int(found.agg(F.sum("n")).first()[0] or 0)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.text import words_of
 from sitegauge.operators.html import paragraphs
+from sitegauge.plans.staging import spread
 
 LANGS = ("en", "de", "fr", "es", "it", "nl")
 MIN_WORDS = 40
@@ -52,7 +53,7 @@ def features(word: str) -> list[int]:
     w = "0" if word.isdigit() else word
     edge = f"^{w}$"
     names = [f"w:{w}", *(f"p:{w[:k]}" for k in (1, 2, 3)), *(f"s:{w[-k:]}" for k in (1, 2, 3))]
-    names += [edge[i : i + 3] for i in range(max(1, min(len(edge), 24) - 2))]
+    names += [edge[i : i + 3] for i in range(max(1, len(edge) - 2))]
     return [zlib.crc32(x.encode()) & (SIZE - 1) for x in names]
 
 
@@ -128,13 +129,14 @@ def posteriors(score: np.ndarray, edge: np.ndarray, n: np.ndarray, model: Model)
 
 
 def _chunks(paras: list[list[str]]) -> Iterator[list[list[str]]]:
-    """Consecutive paragraphs in pieces of about CHUNK words, so that sequences are of like length."""
+    """Consecutive paragraphs in pieces of about CHUNK words, so that sequences are of like length; long ones are split."""
     part: list[list[str]] = []
     for p in paras:
-        part.append(p[: 4 * CHUNK])
-        if sum(map(len, part)) >= CHUNK:
-            yield part
-            part = []
+        for start in range(0, len(p), 2 * CHUNK):
+            part.append(p[start : start + 2 * CHUNK])
+            if sum(map(len, part)) >= CHUNK:
+                yield part
+                part = []
     if part:
         yield part
 
@@ -207,7 +209,7 @@ def fit(pages: DataFrame, locales: DataFrame) -> Model:
     picked = ids[0]
     for x in ids[1:]:
         picked = picked.unionByName(x)
-    rows = pages.select("page_id", "html").filter("html is not null").join(F.broadcast(picked), "page_id").collect()
+    rows = pages.select("page_id", "html").filter("html is not null").join(F.broadcast(picked), "page_id").groupBy("page_id", "lang").agg(F.min("html").alias("html")).collect()
     texts = {(r.page_id, r.lang): _main(r.html) for r in sorted(rows, key=lambda r: (r.page_id, r.lang, r.html))}
     return train([(x, lang) for (_, lang), x in texts.items() if x])
 
@@ -259,7 +261,7 @@ def label_pages(pages: DataFrame, model: Model) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], _NAMES)
 
-    src = pages.filter("page_id is not null and html is not null").select("page_id", "html")
+    src = spread(pages.filter("page_id is not null and html is not null").select("page_id", "html"))
     return src.mapInArrow(run, "page_id long, seg_no int, lang string, confidence double, first_p int, last_p int, words int")
 
 

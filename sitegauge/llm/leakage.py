@@ -6,7 +6,9 @@ window can jump when its last block lies nowhere, or only earlier, in any passag
 zero, the passages that end in that block (the suffix bucket) are told apart by their first block, and
 direct comparison confirms. Most positions of a clean document are never looked at.
 
-Items are few and fixed; should there be more than ``ITEMS_AT_ONCE``, they are searched for in blocks.
+What is broadcast holds at most ``WORDS_AT_ONCE`` words of items, however many or long these are: longer items are
+cut into pieces that overlap by a passage less a word, so none is lost, and more words make more blocks, each
+searched for in its own pass over the corpus.
 Null texts, and items shorter than a passage, match nothing. Repeated rows count once.
 """
 
@@ -19,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sitegauge.functions.text import words_of
+from sitegauge.plans.staging import spread
 
 PASSAGE = 10
-ITEMS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 1_000_000
 
 
 class Passages:
@@ -67,7 +70,7 @@ def leaks(documents: DataFrame, items: DataFrame, length: int = PASSAGE) -> Data
     """(doc_id, item_id): every document that holds a passage of an item, each pair once."""
     if length < 3:
         raise ValueError("a passage needs at least three words")
-    texts = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    texts = spread(documents.filter("doc_id is not null and text is not null").select("doc_id", "text"))
 
     def search(some: list[tuple[int, str | None]]) -> DataFrame:
         passages = documents.sparkSession.sparkContext.broadcast(Passages(some, length))
@@ -85,11 +88,20 @@ def leaks(documents: DataFrame, items: DataFrame, length: int = PASSAGE) -> Data
 
         return texts.mapInArrow(run, "doc_id long, item_id long")
 
-    parts, block = [], []
+    parts, block, size = [], [], 0
     for row in items.filter("item_id is not null and text is not null").select("item_id", "text").distinct().toLocalIterator():
-        block.append((row.item_id, row.text))
-        if len(block) == ITEMS_AT_ONCE:
-            parts.append(search(block))
-            block = []
+        for piece in pieces(words_of(row.text), length):
+            if size + len(piece) > WORDS_AT_ONCE and block:
+                parts.append(search(block))
+                block, size = [], 0
+            block.append((row.item_id, " ".join(piece)))
+            size += len(piece)
     parts.append(search(block))
     return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def pieces(words: list[str], length: int = PASSAGE) -> Iterator[list[str]]:
+    """An item's words in pieces of at most WORDS_AT_ONCE that hold all its passages between them."""
+    step = WORDS_AT_ONCE - length + 1
+    for start in range(0, max(1, len(words) - length + 1), step):
+        yield words[start : start + WORDS_AT_ONCE]

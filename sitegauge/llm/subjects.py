@@ -1,6 +1,7 @@
 """Subject areas of documents by calibrated classifier chains.
 
-From hand labels a term table is learned: how much each word or word pair speaks for each subject. It
+From hand labels and the areas' descriptions a term table is learned: how much each word or word pair speaks for
+each subject. It is widened by the company that terms keep in sentences of unlabelled texts, so few labels do. It
 turns a document into features of three kinds: *terms* (mean evidence for each subject), *structure*
 (share of sentences whose evidence points to each subject, and a ramp that tells a passing mention from
 a treated subject, sentence count, share of lines that are lists, code or headings) and *source* (how far the labels of its source lean to each subject). A chain
@@ -8,7 +9,8 @@ of logistic models, one subject after another, sees these and the decisions befo
 which subjects occur together. Scores are calibrated on held-out documents and corrected for wrong and
 missing labels; a beam search decodes the likeliest combination, none being one of them.
 
-The chain is fitted to at most ``TRAIN_DOCS`` labelled documents, those of the smallest hashed ids;
+The chain is fitted to at most ``TRAIN_DOCS`` labelled documents, terms are widened on at most ``MORE_DOCS`` others,
+each those of the smallest hashed ids;
 labels that name no subject after trimming and lower-casing are ignored. All documents are decoded.
 Null, blank and unlabelled-language texts simply lack evidence and get no subject.
 """
@@ -27,9 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.text import words_of
+from sitegauge.plans.staging import spread
 
 #: Bounds and settings of the fit; beam width of decoding.
-TRAIN_DOCS, LEAST_DOCS, PURITY, EVIDENCE, BEAM = 12_000, 3, 0.6, 1.0, 6
+TRAIN_DOCS, MORE_DOCS, LEAST_DOCS, PURITY, EVIDENCE, BEAM = 12_000, 4_000, 3, 0.6, 0.8, 6
+#: Rounds in which terms are widened by the company they keep, texts that tell of it, and the share that agrees.
+ROUNDS, LEAST_TEXTS, COMPANY = 1, 3, 0.75
+#: Weight of a word of an area's description; how firmly a subject's weights are held to those all share.
+PRIOR, RIDGE = 1.0, 100.0
+#: Documents that usual label rates are mixed with, and the usual rate.
+MIXED, USUAL = 20, 0.9
 #: Shares up to RAMP are passing mentions, shares from twice RAMP on are treatment.
 RAMP = 0.1
 _SENTENCE = re.compile(r"[.!?…]+(?=\s|$)|\n+")
@@ -38,7 +47,7 @@ _LIST = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s", re.M)
 
 
 def _sentences(text: str) -> list[list[str]]:
-    return [w for x in _SENTENCE.split(text) if len(w := words_of(x)) >= 3]
+    return [w for x in _SENTENCE.split(text) if (w := words_of(x))]
 
 
 def _terms(words: list[str]) -> list[str]:
@@ -141,22 +150,84 @@ def _source_table(docs: list[tuple[str | None, str | None, set[int]]], k: int) -
     return {s: (by[s] + 100 * base) / (n + 100) - base for s, n in count.items()}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column is the intercept."""
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, toward: np.ndarray | None = None, ridge_last: float = 1e-6) -> np.ndarray:
+    """Logistic regression by Newton steps, its weights drawn ``toward`` given ones (zero); the last column is the intercept."""
+    goal = np.zeros(x.shape[1]) if toward is None else toward
+    w = goal.copy()
     penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
+    penalty[-1] = ridge_last
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * (w - goal))
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def train(docs: list[tuple[str | None, str | None, set[int]]], subjects: list[str]) -> Chain:
-    """Fit a chain to (text, source, indexes of the labelled subjects)."""
+class _Sentences:
+    """Words of the sentences of a sample of texts, labelled or not, and the texts they stand in."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.vocab: dict[str, int] = {}
+        new = self.vocab
+        rows, owner = [], []
+        for d, text in enumerate(sorted(set(texts))):
+            for words in _sentences(text):
+                rows.append(np.fromiter({new.setdefault(w, len(new)) for w in words if not _DIGIT.search(w)}, np.int64))
+                owner.append(d)
+        self.term = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.sentence = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.text = np.array(owner, np.int64)[self.sentence] if rows else np.zeros(0, np.int64)
+        self.rows = len(rows)
+
+    def widened(self, terms: dict[str, tuple[int, float]], k: int) -> dict[str, tuple[int, float]]:
+        """The table after one round of looking at the company that words keep.
+
+        A sentence speaks for a subject by its known words. A new word that in nearly all texts occurs in sentences
+        which speak for one subject takes that subject; known terms stay as they are.
+        """
+        size = len(self.vocab)
+        subject, weight = np.zeros(size, np.int64), np.zeros(size, np.float32)
+        for t, (s, w) in terms.items():
+            if (i := self.vocab.get(t)) is not None:
+                subject[i], weight[i] = s, w
+        told = np.bincount(self.sentence * k + subject[self.term], weight[self.term], self.rows * k).reshape(-1, k).astype(np.float32)
+        seen: list[np.ndarray] = []
+        for start in range(0, len(self.term), 500_000):
+            cut = slice(start, start + 500_000)
+            term = self.term[cut]
+            rest = told[self.sentence[cut]]
+            rest[np.arange(len(term)), subject[term]] -= weight[term]
+            best = rest.argmax(1)
+            sure = rest[np.arange(len(term)), best] > EVIDENCE
+            seen.append(np.stack([term[sure], self.text[cut][sure], best[sure]], 1))
+        # a text counts once for a word and subject, however often they meet in it
+        hits = np.unique(np.concatenate(seen), axis=0) if seen else np.zeros((0, 3), np.int64)
+        by = np.bincount(hits[:, 0] * k + hits[:, 2], minlength=size * k).reshape(size, k)
+        n = by.sum(1)
+        best = by.argmax(1)
+        pure = by[np.arange(size), best] / (n + 1)
+        names = list(self.vocab)
+        new = {names[i]: (int(best[i]), float(pure[i] * np.log1p(n[i]))) for i in np.flatnonzero((n >= LEAST_TEXTS) & (pure >= COMPANY))}
+        return new | terms
+
+
+def _prior(areas: list[tuple[str, str]], subjects: list[str]) -> dict[str, tuple[int, float]]:
+    """Words of the areas' titles and scope notes that one area alone has, as terms of it."""
+    owners: dict[str, set[str]] = defaultdict(set)
+    for subject, text in areas:
+        for w in words_of(text):
+            if len(w) > 3:
+                owners[w].add(subject)
+    return {w: (subjects.index(next(iter(s))), PRIOR) for w, s in owners.items() if len(s) == 1}
+
+
+def train(docs: list[tuple[str | None, str | None, set[int]]], subjects: list[str], areas: list[tuple[str, str]] = (), more: list[str] = ()) -> Chain:
+    """Fit a chain to (text, source, indexes of the labelled subjects).
+
+    ``areas`` are (subject, descriptive text), ``more`` other texts, unlabelled, from which terms are widened.
+    """
     k, chain = len(subjects), Chain(subjects)
     if len(docs) < 2 or not k:
         return chain
@@ -164,43 +235,61 @@ def train(docs: list[tuple[str | None, str | None, set[int]]], subjects: list[st
     x = np.zeros((len(docs), 4 * k + 4))
     sample = _Sample(docs, k)
     y = sample.y
+    prior, around = _prior(list(areas), subjects), _Sentences([t for t, _, _ in docs if t] + list(more))
+
+    def terms(part: np.ndarray) -> dict[str, tuple[int, float]]:
+        found = prior | sample.terms(part)
+        for _ in range(ROUNDS):
+            found = around.widened(found, k)
+        return found
+
     turn = np.random.default_rng(0).permutation(len(docs))
     for fold in range(3):
         rest = turn % 3 != fold
-        part = Chain(subjects, sample.terms(rest), _source_table([d for d, r in zip(docs, rest, strict=True) if r], k))
+        part = Chain(subjects, terms(rest), _source_table([d for d, r in zip(docs, rest, strict=True) if r], k))
         for i in np.flatnonzero(~rest):
             x[i] = part.features(docs[i][0], docs[i][1])
-    chain.terms, chain.sources = sample.terms(np.ones(len(docs), bool)), _source_table(docs, k)
-    chain.mean, chain.scale = x.mean(0), x.std(0) + 1e-6
+    chain.terms, chain.sources = terms(np.ones(len(docs), bool)), _source_table(docs, k)
+    # one scale for a kind of feature, whatever the subject
+    kinds = [slice(j * k, (j + 1) * k) for j in range(4)] + [slice(4 * k + j, 4 * k + j + 1) for j in range(4)]
+    chain.mean = np.concatenate([np.full(x[:, c].shape[1], x[:, c].mean()) for c in kinds])
+    chain.scale = np.concatenate([np.full(x[:, c].shape[1], x[:, c].std()) for c in kinds]) + 1e-6
     share = x[:, :k]
     z = (x - chain.mean) / chain.scale
     held = turn % 5 == 4
     one = np.ones((len(docs), 1))
-    chain.slope, chain.shift = np.ones(k), np.zeros(k)
     clear, none = share >= 0.3, share <= 0.02
-    chain.low = np.full(k, float(y[none].mean()) if none.any() else 0.0)
-    chain.high = np.full(k, float(y[clear].mean()) if clear.sum() >= 20 else 1.0)
-    if not (chain.low < chain.high - 0.2).all():  # too few labels to tell how wrong they are
-        chain.low, chain.high = np.zeros(k), np.ones(k)
+    # label rates of documents that clearly lack or treat a subject, mixed with what careful labels would give
+    chain.low = np.full(k, float(y[none].sum() / (none.sum() + MIXED)))
+    chain.high = np.full(k, float((y[clear].sum() + MIXED * USUAL) / (clear.sum() + MIXED)))
+    chain.high = np.maximum(chain.high, chain.low + 0.2)
+    chain.slope, chain.shift = np.ones(k), np.zeros(k)
+    # what all subjects have in common: how their own features tell of them; each subject's weights start from it
+    own = lambda s: [s, k + s, 2 * k + s, 3 * k + s]
+    shared = _logistic(np.concatenate([np.c_[z[~held][:, own(s)], one[~held]] for s in range(k)]), y[~held].T.ravel(), 1.0)
     for s in range(k):
         full = np.concatenate([z, y[:, :s], one], 1)
-        w = _logistic(full[~held], y[~held, s], 1.0)
+        common = np.zeros(full.shape[1])
+        common[own(s)], common[-1] = shared[:4], shared[4]
+        w = _logistic(full[~held], y[~held, s], RIDGE, common, 1.0)
         chain.weights.append(w)
-        if y[held, s].sum() >= 5:
-            a = np.c_[full[held] @ w, np.ones(held.sum())]
-            chain.slope[s], chain.shift[s] = _logistic(a, y[held, s], 0.1)
+        chain.slope[s], chain.shift[s] = _logistic(np.c_[full[held] @ w, np.ones(held.sum())], y[held, s], 0.1, np.array([1.0, 0.0]), 0.1)
     return chain
 
 
 def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Chain:
-    """Train on the bounded sample of labelled documents."""
-    subjects = sorted({r.subject for r in areas.select("subject").collect() if r.subject})
+    """Train on the bounded samples of labelled documents and of texts."""
+    told = [r for r in areas.select("subject", "title", "scope_note").distinct().collect() if r.subject] if {"title", "scope_note"} <= set(areas.columns) else [r for r in areas.select("subject").distinct().collect() if r.subject]
+    subjects = sorted({r.subject for r in told})
     place = {s.strip().lower(): i for i, s in enumerate(subjects)}
     named = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).filter(F.col("subject").isin(*place)) if place else labels.limit(0).select("doc_id", "subject")
     picked = named.groupBy("doc_id").agg(F.collect_set("subject").alias("told")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = documents.select("doc_id", "text", "source").join(F.broadcast(picked), "doc_id").collect()
-    rows = sorted((r for r in rows if r.text), key=lambda r: r.doc_id)
-    return train([(r.text, r.source, {place[s] for s in r.told}) for r in rows], subjects)
+    rows = documents.select("doc_id", "text", "source").join(F.broadcast(picked), "doc_id").distinct().collect()
+    rows = sorted((r for r in rows if r.text), key=lambda r: (r.doc_id, r.text))
+    others = documents.filter("text <> ''").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MORE_DOCS)
+    more = [r.text for r in documents.select("doc_id", "text").join(F.broadcast(others), "doc_id").distinct().collect() if r.text]
+    described = [(r.subject, " ".join(x for x in r if x)) for r in told]
+    return train([(r.text, r.source, {place[s] for s in r.told}) for r in rows], subjects, described, more)
 
 
 def assign(documents: DataFrame, chain: Chain) -> DataFrame:
@@ -224,7 +313,7 @@ def assign(documents: DataFrame, chain: Chain) -> DataFrame:
                 ["doc_id", "subject", "chance", "share"],
             )
 
-    rows = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", "source")
+    rows = spread(documents.filter("doc_id is not null and text is not null").select("doc_id", "text", "source"))
     return rows.mapInArrow(run, "doc_id long, subject string, chance double, share double")
 
 

@@ -40,7 +40,7 @@ from sitegauge.functions import urls
 from sitegauge.llm.message_model import MessageModel, train
 from sitegauge.llm.message_seeds import CLASSES
 from sitegauge.operators.html import BLOCK, BOILERPLATE, HIDDEN, REST, plain, region
-from sitegauge.plans.staging import join_by_group, staged
+from sitegauge.plans.staging import join_by_group, spread, staged
 
 #: Bound of the sample that shows the model ordinary lines: so many pages, those of the smallest hashed ids.
 TRAIN_PAGES = 250
@@ -226,7 +226,7 @@ def scanned(pages: DataFrame, reports: DataFrame) -> DataFrame:
     html = pages.filter("page_id is not null and html is not null").select("page_id", "html", F.lit(None).cast("string").alias("title"), host.alias("host"), failed.alias("failed"))
     titles = reports.filter("page_id is not null and meta.title is not null")
     titles = titles.select("page_id", F.lit(None).cast("string").alias("html"), F.col("meta.title").alias("title"), F.lit(0).cast("bigint").alias("host"), F.lit(False).alias("failed"))
-    seen = html.unionByName(titles).mapInArrow(lambda b: _scan(model.value)(b), LINES + ", host long, failed boolean")
+    seen = spread(html.unionByName(titles)).mapInArrow(lambda b: _scan(model.value)(b), LINES + ", host long, failed boolean")
     return staged(seen.distinct())
 
 

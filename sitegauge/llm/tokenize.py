@@ -20,6 +20,8 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sitegauge.plans.staging import spread
+
 #: Fixed value: how the vocabulary's authors cut texts into pieces before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The default place of the vocabulary; a parameter of every function that reads it.
@@ -122,4 +124,4 @@ def encode_texts(documents: DataFrame, path: str = VOCABULARY, pattern: str = PA
                 ids = coder.encode(part.column("text").to_pylist(), split)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")

@@ -18,11 +18,11 @@ def test_copies(spark):
     a = ("https://A.test/x_y", "https://a.test/x", '{"title":"The Cat","h1Count":1,"status":"pass"}')
     rows = [
         (3, *a), (1, '"https://a.TEST/x-y"', " https://a.test/x", '{"h1Count":"1", "status":"PASS", "robots":null, "title":"the, cat!","description":""}'), (2, *a[:2], '{"title":"The Cat","h1Count":2,"status":"pass"}'),
-        (4, *a[:2], '{"title":"TheCat","h1Count":1,"status":"pass"}'), (5, None, None, None), (6, "", " ", "{}"), (7, None, None, "not json"), (3, *a), (None, *a),
+        (4, *a[:2], '{"title":"TheCat","h1Count":1,"status":"pass"}'), (5, None, None, None), (6, "", " ", "{}"), (7, None, None, "not json"), (8, None, None, "NOT  json"), (9, None, None, "other"), (3, *a), (None, *a),
     ]
     df = spark.createDataFrame([(*r, None, None) for r in rows], FEED)
-    assert sorted(tuple(r) for r in format_copies.copies(df).collect()) == [(1, 3), (5, 6), (5, 7)]
-    assert {tuple(r) for r in format_copies.records(df).collect()} == {(1, 2), (2, 1), (4, 1), (5, 3)}
+    assert sorted(tuple(r) for r in format_copies.copies(df).collect()) == [(1, 3), (5, 6), (7, 8)]
+    assert {tuple(r) for r in format_copies.records(df).collect()} == {(1, 2), (2, 1), (4, 1), (5, 2), (7, 2), (9, 1)}
     assert format_copies.copies(df.limit(0)).count() == 0
     many = spark.range(3000).selectExpr("id as feed_id", "if(id % 3 = 0, 'U', concat('u', id)) as url", "'c' as canonical", "'{}' as payload")
     assert format_copies.copies(many).count() == 999
@@ -81,6 +81,29 @@ def test_leaks(spark):
     assert leakage.leaks(spark.createDataFrame([], DOCS), items).count() == 0
 
 
+def test_many_and_long_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "WORDS_AT_ONCE", 40)
+    words = [f"w{i}" for i in range(130)]
+    cut = [" ".join(words[i : i + 10]) for i in range(121)]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(cut)], DOCS)
+    items = spark.createDataFrame([(None, " ".join(words), None, 1), (None, " ".join(words[:12]), None, 2)], DOCS)
+    got = sorted(tuple(r) for r in leakage.leaks(docs, items).collect())
+    assert got == sorted([(i, 1) for i in range(121)] + [(i, 2) for i in range(3)])
+
+
+def test_few_labels_are_widened():
+    import random
+
+    rng = random.Random(5)
+    topic = [[f"{a}{x}{y}" for x in "bcdfg" for y in "aeiouy"] for a in ("law", "sport")]
+    text = lambda k: " ".join(f"the {rng.choice(topic[k])} of {rng.choice(topic[k])} and {rng.choice(topic[k])} is here." for _ in range(4)) if k is not None else "the page of menu and form is here."
+    labelled = [(text(i % 2), "s", {i % 2}) for i in range(16)] + [(text(None), "s", set())] * 8
+    more = [text(rng.randrange(2)) for _ in range(200)]
+    few, many = subjects.train(labelled, ["law", "sport"]), subjects.train(labelled, ["law", "sport"], more=more)
+    words = lambda m: {t for t in m.terms if " " not in t}
+    assert len(words(many)) > len(words(few)) and all(w.startswith(many.subjects[many.terms[w][0]]) for w in words(many))
+
+
 def test_subjects(spark):
     import random
 
@@ -100,7 +123,7 @@ def test_subjects(spark):
     docs += [(900, None, None, None), (901, "", None, None)]
     labels += [(1, None), (2, "nonsense")]
     frame = spark.createDataFrame(docs, DOCS)
-    lab, areas = spark.createDataFrame(labels, "doc_id long, subject string"), spark.createDataFrame([("law",), ("sport",)], "subject string")
+    lab, areas = spark.createDataFrame(labels, "doc_id long, subject string"), spark.createDataFrame([("law", "Law", "courts and contracts"), ("sport", "Sport", None)], "subject string, title string, scope_note string")
     got = defaultdict(set)
     for r in subjects.found(frame, lab, areas).collect():
         got[r.doc_id].add(r.subject)
