@@ -93,7 +93,7 @@ def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], count: st
 
 
 #: Bytes of input below which a few files may be too few tasks.
-SPREAD_BYTES = 64 << 20
+SPREAD_BYTES = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -101,7 +101,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     For what comes before work in Python. Large inputs have tasks enough, and there texts never move.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
 
 
