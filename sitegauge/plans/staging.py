@@ -97,13 +97,14 @@ SPREAD_BYTES = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Small inputs dealt out to all cores, since a small file is often one row group, hence one task; others as they are.
+    """Small inputs of a few files dealt out to all cores, since a small file is often one row group, hence one task.
 
     For what comes before work in Python. Large inputs have tasks enough, and there texts never move.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
 #: Rows up to which a table counts as small.
