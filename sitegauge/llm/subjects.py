@@ -35,6 +35,8 @@ from sitegauge.plans.staging import spread
 TRAIN_DOCS, MORE_DOCS, LEAST_DOCS, PURITY, EVIDENCE, BEAM = 12_000, 4_000, 3, 0.6, 0.8, 6
 #: Rounds in which terms are widened by the company they keep, texts that tell of it, and the share that agrees.
 ROUNDS, LEAST_TEXTS, COMPANY = 1, 3, 0.75
+#: Labelled documents from which on labels alone decide about a word.
+JUDGED = 10
 #: Weight of a word of an area's description; how firmly a subject's weights are held to those all share.
 PRIOR, RIDGE = 1.0, 100.0
 #: Documents that usual label rates are mixed with, and the usual rate.
@@ -140,6 +142,12 @@ class _Sample:
         return {t: (int(best[i]), float(weight[i])) for t, i in self.vocab.items() if keep[i] and not _DIGIT.search(t)}
 
 
+    def judged(self, part: np.ndarray) -> set[str]:
+        """Terms of enough labelled documents for labels alone to say what they speak for, if for anything."""
+        n = np.bincount(self.term[part[self.doc]], minlength=len(self.vocab))
+        return {t for t, i in self.vocab.items() if n[i] >= JUDGED}
+
+
 def _source_table(docs: list[tuple[str | None, str | None, set[int]]], k: int) -> dict[str, np.ndarray]:
     count: Counter[str] = Counter()
     by: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
@@ -181,11 +189,12 @@ class _Sentences:
         self.text = np.array(owner, np.int64)[self.sentence] if rows else np.zeros(0, np.int64)
         self.rows = len(rows)
 
-    def widened(self, terms: dict[str, tuple[int, float]], k: int) -> dict[str, tuple[int, float]]:
+    def widened(self, terms: dict[str, tuple[int, float]], k: int, judged: set[str]) -> dict[str, tuple[int, float]]:
         """The table after one round of looking at the company that words keep.
 
         A sentence speaks for a subject by its known words. A new word that in nearly all texts occurs in sentences
-        which speak for one subject takes that subject; known terms stay as they are.
+        which speak for one subject takes that subject; known terms, and words that labels have ``judged``, stay as
+        they are.
         """
         size = len(self.vocab)
         subject, weight = np.zeros(size, np.int64), np.zeros(size, np.float32)
@@ -209,7 +218,7 @@ class _Sentences:
         best = by.argmax(1)
         pure = by[np.arange(size), best] / (n + 1)
         names = list(self.vocab)
-        new = {names[i]: (int(best[i]), float(pure[i] * np.log1p(n[i]))) for i in np.flatnonzero((n >= LEAST_TEXTS) & (pure >= COMPANY))}
+        new = {names[i]: (int(best[i]), float(pure[i] * np.log1p(n[i]))) for i in np.flatnonzero((n >= LEAST_TEXTS) & (pure >= COMPANY)) if names[i] not in judged}
         return new | terms
 
 
@@ -238,9 +247,9 @@ def train(docs: list[tuple[str | None, str | None, set[int]]], subjects: list[st
     prior, around = _prior(list(areas), subjects), _Sentences([t for t, _, _ in docs if t] + list(more))
 
     def terms(part: np.ndarray) -> dict[str, tuple[int, float]]:
-        found = prior | sample.terms(part)
+        found, judged = prior | sample.terms(part), sample.judged(part)
         for _ in range(ROUNDS):
-            found = around.widened(found, k)
+            found = around.widened(found, k, judged)
         return found
 
     turn = np.random.default_rng(0).permutation(len(docs))
