@@ -37,8 +37,9 @@ LINK = 0.3
 BINS, ROWS = 320, 4
 BANDS = BINS // ROWS
 SKETCH = 128
-#: A pair whose sketches agree on fewer positions than this share can't reach LINK but by a freak.
-SKETCH_SHARE = 0.2
+#: Pairs whose sketches agree on fewer positions than this share can't reach LINK, or, where no star needs them,
+#: THRESHOLD, but by a freak: the shares lie four standard deviations of a sample below these.
+STAR_SHARE, PAIR_SHARE = 0.2, 0.33
 #: A hub counts as hot from this share of all pairs on; at most 1/share hubs travel with their texts.
 HUB_SHARE = 1e-2
 MIN_WORDS = {"html": 40, "description": 12}
@@ -212,7 +213,7 @@ def candidate_edges(signed: DataFrame) -> DataFrame:
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         wide = lambda c, b=b: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, SKETCH)
-        keep = (wide("sa") == wide("sb")).mean(1) >= SKETCH_SHARE
+        keep = (wide("sa") == wide("sb")).mean(1) >= np.where(b.column("star").to_numpy(zero_copy_only=False), STAR_SHARE, PAIR_SHARE)
         yield b.filter(pa.array(keep)).select(["field", "a", "b", "star"])
 
 

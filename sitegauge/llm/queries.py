@@ -64,5 +64,21 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_templates, p2_found, p2_classes, p4_found, p4_segments, p5_found, p5_records, p6_ids, p7_found, p8_found)}
 
 
+_WORDS = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_FIELDS = ", ".join(f"coalesce({_WORDS.format(c)}, '')" for c in ("url", "canonical", *(f"payload->>'$.{f}'" for f in format_copies.FIELDS)))
+_COPIES = f"with k as (select distinct feed_id, [{_FIELDS}] as words from report_feed where feed_id is not null), g as (select words, min(feed_id) first, count(*) n from k group by 1)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where words can be said in it: copies hidden by formatting and leaked passages."""
+
+    def passages(key: str, table: str) -> str:
+        words = f"select {key}, string_split({_WORDS.format('text')}, ' ') w from {table} where text is not null"
+        last = leakage.PASSAGE - 1
+        return f"select distinct {key} id, array_to_string(w[i:i + {last}], ' ') passage from (select {key}, w, unnest(range(1, len(w) - {last - 1})) i from ({words}))"
+
+    return {
+        "p5_found": f"{_COPIES} select first as feed_id_first, feed_id as feed_id_copy from k join g using (words) where feed_id <> first",
+        "p5_records": f"{_COPIES} select first as feed_id, n as copies from g",
+        "p7_found": f"with d as ({passages('doc_id', 'documents')}), i as ({passages('item_id', 'eval_items')}) select distinct d.id as doc_id, i.id as item_id from d join i using (passage)",
+    }
