@@ -332,7 +332,7 @@ def crawlable_counts(spark, d):
 @query
 def url_typed(spark, d):
     """Addresses as a user types them: without scheme, with blanks, with none."""
-    u = table(spark, d, "page_fetch").select("url", (F.crc32("url") % 4).alias("k")).distinct()
+    u = table(spark, d, "page_fetch").select("url", (F.length("url") % 4).alias("k")).distinct()
     bare = F.regexp_replace("url", "^https?://", "")
     typed = F.when(F.col("k") == 0, F.concat(F.lit("  "), bare)).when(F.col("k") == 1, F.col("url")).when(F.col("k") == 2, F.concat(F.lit("a b "), "url")).otherwise(F.lit(" "))
     rows = u.select(typed.alias("typed")).distinct()
