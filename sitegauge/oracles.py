@@ -121,23 +121,36 @@ _NESTED = r"""with recursive src as (select distinct report_id, d.index as scrip
  t as materialized (select v.rid, report_id, script_index, j.id, j.parent, j.type, j.key from v, json_tree(v.c) j where j.type in ('OBJECT', 'ARRAY')),
  w as (select rid, report_id, script_index, id, type, '$' as node_path, '' as parent_path, '$' as schema_path from t where parent is null union all
  select t.rid, t.report_id, t.script_index, t.id, t.type, w.node_path || '/' || t.key, case when w.type = 'OBJECT' then w.node_path else w.parent_path end, w.schema_path || '/' || case when w.type = 'ARRAY' then '*' else t.key end from w join t on t.rid = w.rid and t.parent = w.id)"""
+_MEMBERS = _NESTED.split(" t as materialized")[0] + r""" t as materialized (select v.rid, report_id, script_index, j.id, j.parent, j.type, j.key, case when j.type = 'VARCHAR' then j.atom->>'$' when j.type = 'NULL' then null else j.atom::varchar end as value,
+ (row_number() over (partition by v.rid, j.parent order by j.id) - 1)::varchar as ord from v, json_tree(v.c) j),
+ m as (select rid, report_id, script_index, id, type, value, '$' as leaf, '$' as sp, '' as obj, '' as osp, null::varchar as key, '' as pos from t where parent is null union all
+ select t.rid, t.report_id, t.script_index, t.id, t.type, t.value, m.leaf || case when m.type = 'OBJECT' then '.k' else '.e' end || t.ord, m.sp || '/' || case when m.type = 'ARRAY' then '*' else t.key end,
+ case when m.type = 'OBJECT' then m.leaf else m.obj end, case when m.type = 'OBJECT' then m.sp else m.osp end, case when m.type = 'OBJECT' then t.key else m.key end, case when m.type = 'OBJECT' then '' when m.pos = '' then t.ord else m.pos || '.' || t.ord end from m join t on t.rid = m.rid and t.parent = m.id)"""
 _DEPTHS = 24
 
 
-def _crawl() -> str:
+def _crawl(browser: bool = False) -> str:
     """A crawl, depth by depth, as common table expressions; ``_DEPTHS`` are more than the test tables have."""
     bare = lambda u: f"regexp_replace({_HOST(u)}, '^www\\.', '')"
     skipped = "'\\.(pdf|jpe?g|png|gif|svg|webp|ico|zip|exe|dmg|css|js|json|xml|txt|mp4|mp3|avi|mov|wmv|flv|webm|woff2?|ttf|eot|otf)$'"
     crawls = lambda u, base: f"coalesce({bare(u)} = {bare(base)} and not regexp_matches(lower({_PATH(_canonical(u, base))}), {skipped}), false)"
+    if browser:
+        seeds = "select * from lo where position <= 200 union all select site, url, 3.5 from ro where (site, url) not in (select site, url from lo where position <= 200)"
+        shown = f"select distinct {_canonical('url')} url from page_fetch where coalesce(status_code, 200) < 400 and contains(lower(coalesce(headers['content-type'][1], '')), 'html')"
+        answers = f"{shown} union select url from alive where {bare('url')} not in (select {bare('url')} from ({shown}))"
+        unfollowed = "select site from lo where position = 10"
+    else:
+        seeds = """select * from lo where position <= 200 union all select site, url, 0 from ro where site not in (select site from lo where position = 200)
+ and (site, url) not in (select site, url from lo where position <= 200)"""
+        answers, unfollowed = "select url from alive", "''"
     out = f"""with recursive {_XML}, {_EXPAND}, {_ALIVE}, ro as materialized (select {bare('url')} site, min(url) url from alive group by 1),
  lr as (select ro.site, loc, ro.url root, position from ex join ro on ro.site = {bare('base')}), li as (select site, {_canonical('loc', 'root')} url, min(position) p from lr where {crawls('loc', 'root')} group by 1, 2),
- lo as materialized (select site, url, row_number() over (partition by site order by p, url) position from li), sd as (select * from lo where position <= 200 union all
- select site, url, 0 from ro where site not in (select site from lo where position = 200) and (site, url) not in (select site, url from lo where position <= 200)),
- edges as materialized (select {bare('src')} site, {_canonical('src')} as src, {_canonical('dst', 'src')} dst, min(ordinal) ordinal from link_graph where {crawls('dst', 'src')} group by 1, 2, 3),
- f0 as materialized (select * from (select site, url, 0 as depth, row_number() over (partition by site order by position, url) as position from sd where url in (select url from alive)) where position <= 200), s0 as (select * from f0)"""
+ lo as materialized (select site, url, row_number() over (partition by site order by p, url) position from li), sd as ({seeds}), ans as materialized ({answers}),
+ edges as materialized (select {bare('src')} site, {_canonical('src')} as src, {_canonical('dst', 'src')} dst, min(ordinal) ordinal from link_graph where {crawls('dst', 'src')} and {bare('src')} not in ({unfollowed}) group by 1, 2, 3),
+ f0 as materialized (select * from (select site, url, 0 as depth, row_number() over (partition by site order by position, url) as position from sd where url in (select url from ans)) where position <= 200), s0 as (select * from f0)"""
     for k in range(1, _DEPTHS):
         out += f""", n{k} as (select f.site, e.dst url, min({{'b': f.position, 'o': e.ordinal}}) place from f{k - 1} f join edges e on e.site = f.site and e.src = f.url group by 1, 2),
- r{k} as (select site, url, row_number() over (partition by site order by place, url) as rank from n{k} where url in (select url from alive) and (site, url) not in (select site, url from s{k - 1})),
+ r{k} as (select site, url, row_number() over (partition by site order by place, url) as rank from n{k} where url in (select url from ans) and (site, url) not in (select site, url from s{k - 1})),
  f{k} as materialized (select r.site, url, {k} as depth, rank + taken as position from r{k} r join (select site, count(*) taken from s{k - 1} group by 1) t on t.site = r.site where rank + taken <= 200),
  s{k} as materialized (select * from s{k - 1} union all select * from f{k})"""
     return out + f", seen as (select * from s{_DEPTHS - 1})"
@@ -271,6 +284,22 @@ def sql() -> dict[str, str]:
         f" unnest(range(len({href}) + len({rel}))) as pos from h), s1 as (select page_id, final_url, pos, x.k kind, x.u raw from s0 where trim(x.u) <> ''), s2 as (select *, {full} resolved from s1), s3 as (select *, {_canonical('resolved', 'final_url')} canonical from s2 where {crawls('resolved', 'final_url')}),"
         " s4 as (select page_id, canonical, min(pos) pos, arg_min(kind, pos) kind, arg_min(raw, pos) raw, arg_min(resolved, pos) resolved from s3 group by 1, 2), ls as (select page_id, row_number() over (partition by page_id order by pos) ordinal, kind, raw, resolved, canonical from s4)"
     )
+    falsy = """('null', '""', '[]', '{}', '0', 'false')"""
+    rep = (
+        r"""sc as (select page_id, unnest(regexp_extract_all(raw, '(?is)<script([^>]*)>.*?</script', 1)) attrs, unnest(regexp_extract_all(raw, '(?is)<script[^>]*>(.*?)</script', 1)) body, unnest(range(len(regexp_extract_all(raw, '(?is)<script([^>]*)>.*?</script', 1)))) pos from h),
+ ld as materialized (select page_id, body c, row_number() over (partition by page_id order by pos) n, row_number() over () rid, json_valid(body) and not regexp_matches(regexp_replace(body, '"(?:[^"\\]|\\.)*"', '0', 'g'), ',\s*[}\]]') ok from sc
+ where trim(body, chr(32) || chr(10) || chr(13) || chr(9)) <> '' and (regexp_matches(attrs, '(?i)type="[^"]*application/ld\+json') or (regexp_matches(body, '^\s*[{\[]') and regexp_matches(body, '@context|@type')))),"""
+        f""" le as (select *, case when not ok then 'invalid JSON' when json_type(c) not in ('OBJECT', 'ARRAY') then 'no object or array' when json_type(c) = 'ARRAY' and json_array_length(c) = 0 then 'empty array'
+ when len(list_filter(case when json_type(c) = 'ARRAY' then json_extract(c, '$[*]."@context"') || json_extract(c, '$[*]."@type"') else [json_extract(c, '$."@context"'), json_extract(c, '$."@type"')] end, lambda x: x is not null and x::varchar not in {falsy})) = 0 then 'neither context nor type' end e from ld),
+ jt as materialized (select page_id, ld.n, ld.rid, j.id, j.parent, j.type, j.key, j.atom from ld, json_tree(ld.c) j where ld.ok), ty as (select a.page_id, a.n, a.parent oid, a.id eid, a.atom->>'$' t from jt a where a.key = '@type' and a.type = 'VARCHAR'
+ union all select a.page_id, a.n, b.parent, a.id, a.atom->>'$' from jt a join jt b on a.rid = b.rid and a.parent = b.id where b.key = '@type' and b.type = 'ARRAY' and a.type = 'VARCHAR'),
+ tf as (select page_id, t, min({{'n': n, 'o': oid, 'e': eid}}) first from ty group by 1, 2), tt as (select page_id, string_agg(t, ',' order by first) types from tf group by 1),
+ lp as (select page_id, count(*)::int cnt, count(*) filter (e in ('invalid JSON', 'no object or array', 'empty array')) = 0 or count(e) < count(*) valid, coalesce(list('JSON-LD ' || n || ': ' || e order by n) filter (e is not null), []) errs from le group by 1),
+ rp as (select pf.page_id, pf.url, coalesce({_H1}, 0)::int h1_count, coalesce({_H1}, 0) = 1 has_single_h1, {_TITLE} title, {_meta('description')} description, {_CANON_LINK} canonical, coalesce(valid, false) json_ld_valid, coalesce(cnt, 0) cnt, coalesce(errs, []) errs, coalesce(contains(lower({_meta('robots')}), 'noindex'), false) ni from pf left join h using (page_id) left join lp using (page_id)),
+ ri as (select *, list_filter([case when h1_count = 0 then 'missing h1' end, case when h1_count > 1 then 'several h1' end, case when title is null then 'missing title' end, case when description is null then 'missing description' end, case when ni then 'noindex' end, case when canonical is null then 'missing canonical' end,
+ case when cnt = 0 then 'missing structured data' end, case when cnt > 0 and not json_ld_valid then 'invalid structured data: ' || array_to_string(errs, ', ') end], lambda x: x is not null) iss from rp),
+ rs as (select *, case when len(iss) = 0 then 'pass' when len(iss) <= 2 then 'warn' else 'fail' end status from ri)"""
+    )
     out = {
         "score_slice": f"""with {_PF}, s as (select page_id, {slice_t} t, {https} ok, {_H1} n from h), c as (select page_id,
  (t = 'pass')::int + ok::int + (n > 0)::int + (n <= 1)::int p, (t = 'warn')::int + (n > 1)::int w, (t = 'fail')::int + (not ok)::int + (n = 0)::int x from s)
@@ -360,6 +389,7 @@ def sql() -> dict[str, str]:
  lo as (select site, url, row_number() over (partition by site order by p, url) position from li), al as (select * from lo where position <= 200 union all select distinct regexp_replace({_HOST('base')}, '^www\\.', ''), {_canonical('base')}, 0 from ex)
  select site, url, min(position)::int as position from al where url in (select url from alive) group by 1, 2""",
         "crawl_bfs": f"{_CRAWL} select site, url, depth, position from seen",
+        "crawl_browser": f"{_crawl(True)} select site, url, depth, position from seen",
         "crawl_batches": f"{_CRAWL} select site, url, ((position - 1) // 5)::bigint as batch from seen",
         "crawl_statistics": f"""{_CRAWL}, pg as (select distinct page_id, url, status_code from page_fetch), st as materialized (select * from ro union all select site, min(url) from (select distinct regexp_replace({_HOST(_canonical('url'))}, '^www\\.', '') site, {_canonical('url')} url from pg) where site <> '' and site not in (select site from ro) group by 1),
  l2 as (select st.site, loc, st.url root from ex join st on st.site = regexp_replace({_HOST('base')}, '^www\\.', '')), l3 as (select distinct site, {_canonical('loc', 'root')} url from l2 where {crawls('loc', 'root')}),
@@ -367,6 +397,7 @@ def sql() -> dict[str, str]:
  dc as (select site, count(distinct url) n from (select site, url from l3 union all select site, url from seen) group by 1), er as (select s.site, count(*) n from pg join seen s on s.url = {_canonical('pg.url')} where status_code >= 400 group by 1)
  select st.site, coalesce(mp.n, 0) sitemap_urls, coalesce(hd.n, 0) html_discovered, coalesce(dc.n, 0) discovered, coalesce(tk.n, 0) total_crawled, coalesce(er.n, 0) errors from st left join mp using (site) left join hd using (site) left join dc using (site) left join tk using (site) left join er using (site) where st.site <> ''""",
         "p3_found": f"{_NESTED} select report_id, script_index, node_path, parent_path from w where type = 'OBJECT'",
+        "p3_members": f"{_MEMBERS} select report_id, script_index, obj as label, osp as schema_path, leaf, key, pos as position, case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind, value from m where type not in ('OBJECT', 'ARRAY')",
         "p3_tables": f"{_NESTED} select schema_path, count(*) as rows from w where type = 'OBJECT' group by 1",
         "redirect_chains": f"""with recursive p as (select distinct url, status_code, final_url from page_fetch), t as (select url, max({{'s': case when final_url <> url then 301 else status_code end, 'l': case when final_url <> url then final_url end}}) r from p group by 1),
  w as (select url, url as cur, 0 as hops, starts_with(url, 'http://') http, null::varchar outcome, 0 as step from (select distinct url from p)
@@ -382,6 +413,9 @@ def sql() -> dict[str, str]:
  bo as (select page_id, flatten(list(ls order by ordinal)) ls from ml group by 1), bl as (select page_id, [{{'t': '  Broken Links: ' || count(*), 's': 'fail'}}] || list({{'t': '    - ' || coalesce(link, '') || ' (' || coalesce(status::varchar, 'none') || ')', 's': 'fail'}} order by ordinal)[1:10] ls from dead group by 1),
  f as (select page_id, [{{'t': 'SEO Analysis Report', 's': 'title'}}, {{'t': 'URL: ' || url, 's': 'link'}}, {{'t': 'Overall SEO Score: ' || score || '/100', 's': case when score >= 80 then 'pass' when score >= 60 then 'warn' else 'fail' end}}, {{'t': 'Summary', 's': 'section'}}, {{'t': 'Passed: ' || p, 's': 'text'}}, {{'t': 'Warnings: ' || w, 's': 'text'}}, {{'t': 'Failed: ' || x, 's': 'text'}}] || bo.ls || coalesce(bl.ls, []) as lines
  from sc join pf using (page_id) join bo using (page_id) left join bl using (page_id)) select page_id, unnest(range(1, len(lines) + 1))::bigint line_no, unnest(list_transform(lines, lambda l: l.t)) as text, unnest(list_transform(lines, lambda l: l.s)) as style from f""",
+        "json_ld_pages": f"with {_PF}, {rep} select h.page_id, coalesce(cnt, 0)::int as count, coalesce(valid, false) as valid, coalesce(array_to_string(errs, '; '), '') as errors, coalesce(types, '') as types from h left join lp using (page_id) left join tt using (page_id)",
+        "page_report_flat": f"with {_PF}, {rep} select page_id, url, h1_count, has_single_h1, title, description, canonical, json_ld_valid, status, array_to_string(iss, '; ') as issues from rs",
+        "site_report": f"{_CRAWL}, {_PF}, {rep} select page_id, rs.url, seen.position as page_no, sitemap as sitemap_url, status from rs join seen on seen.url = {_canonical('rs.url')} left join rt on rt.base = 'https://' || {_HOST('rs.url')} || '/'",
         "link_set": f"with {_PF}, {sets} select page_id, ordinal::int as ordinal, kind, raw, resolved, canonical from ls",
         "log_levels": f"with e as (select {_LEVEL} as level, {_CLEAN} message from crawl_log) select level, case level when 'success' then '✓' when 'warning' then '⚠' when 'error' then '✗' else '→' end icon, count(*) events from e where message <> '' group by 1, 2",
         "log_events": f"with e as (select distinct log_id, {_LEVEL} as level, {_CLEAN} message from crawl_log) select * from e where message <> ''",
