@@ -60,6 +60,8 @@ def _terms(words: list[str]) -> list[str]:
 class Chain:
     subjects: list[str]
     terms: dict[str, tuple[int, float]] = field(default_factory=dict)
+    #: First words of the terms that are pairs.
+    heads: set[str] | None = None
     sources: dict[str, np.ndarray] = field(default_factory=dict)
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
@@ -75,14 +77,19 @@ class Chain:
         told, total = np.zeros(k), np.zeros(k)
         sentences = _sentences(text or "")
         get = self.terms.get
+        if self.heads is None:
+            self.heads = {t.split(" ")[0] for t in self.terms if " " in t}
+        heads = self.heads
         for words in sentences:
-            mine = np.zeros(k)
-            for t in _terms(words):
-                if hit := get(t):
-                    mine[hit[0]] += hit[1]
-            total += mine
-            if mine.max(initial=0) > EVIDENCE:
-                told[mine.argmax()] += 1
+            hits = [h for w in words if (h := get(w))]
+            hits += [h for a, b in zip(words, words[1:], strict=False) if a in heads and (h := get(f"{a} {b}"))]
+            if hits:
+                mine = [0.0] * k
+                for s, weight in hits:
+                    mine[s] += weight
+                total += mine
+                if max(mine) > EVIDENCE:
+                    told[mine.index(max(mine))] += 1
         n = max(1, len(sentences))
         lines = max(1, (text or "").count("\n") + 1)
         extra = [math.log1p(n), len(_LIST.findall(text or "")) / lines, (text or "").count("```") / lines, float((text or "").startswith("#"))]
