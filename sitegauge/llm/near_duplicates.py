@@ -42,6 +42,9 @@ SKETCH = 128
 STAR_SHARE, PAIR_SHARE = 0.2, 0.33
 #: A hub counts as hot from this share of all pairs on; at most 1/share hubs travel with their texts.
 HUB_SHARE = 1e-2
+#: Large buckets that may be broadcast (40 bytes each), and the fields whose texts are compared.
+FEW_BUCKETS = 300_000
+FIELDS = ("html", "description")
 MIN_WORDS = {"html": 40, "description": 12}
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -106,11 +109,16 @@ def signatures(texts: list[str], known: dict[str, int]) -> np.ndarray:
     return out
 
 
-def _bands(sig: np.ndarray) -> np.ndarray:
+def _bands(sig: np.ndarray, field: np.ndarray) -> np.ndarray:
+    """A bucket for each band of each text; its last bit is the field, so no row needs to say it."""
     h = np.zeros((len(sig), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)[None, :]
     for k in range(ROWS):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::ROWS])
-    return h
+    return (h << np.uint64(1)) | field.astype(np.uint64)[:, None]
+
+
+def _field_of(bucket: Column) -> Column:
+    return F.when(bucket.bitwiseAND(F.lit(1)) == 0, FIELDS[0]).otherwise(FIELDS[1])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +129,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures(part.column("words").to_pylist(), known)
             alive = (sig != _EMPTY).any(1)
             sig = sig[alive]
-            bands = _bands(sig).view(np.int64).ravel()
+            field = np.array([FIELDS.index(f) for f in part.column("field").to_pylist()], np.int64)[alive]
+            bands = _bands(sig, field).view(np.int64).ravel()
             low = (_mix(sig[:, :SKETCH]) & np.uint64(255)).astype(np.uint8)
             keep = pa.array(alive)
             yield pa.RecordBatch.from_arrays(
@@ -183,29 +192,30 @@ def _spread(band: Column) -> Column:
 
 def candidate_edges(signed: DataFrame) -> DataFrame:
     """(field, a, b, star): distinct candidate pairs a < b; star marks those of buckets above three."""
-    rows = signed.select("field", "rep", F.explode("bands").alias("bucket"))
-    code = F.col("rep").bitwiseXOR(_spread(F.col("bucket")))
+    rows = signed.select("rep", F.explode("bands").alias("bucket"))
+    bucket, rep = F.col("bucket"), F.col("rep")
+    code = rep.bitwiseXOR(_spread(bucket))
     found = staged(
-        rows.groupBy("field", "bucket")
+        rows.groupBy("bucket")
         .agg(F.count("*").alias("n"), F.min(code).alias("lo"), F.max(code).alias("hi"), F.bit_xor("rep").alias("all"))
         .filter("n > 1")
-        .withColumns({"lo": F.col("lo").bitwiseXOR(_spread(F.col("bucket"))), "hi": F.col("hi").bitwiseXOR(_spread(F.col("bucket")))})
+        .withColumns({"lo": F.col("lo").bitwiseXOR(_spread(bucket)), "hi": F.col("hi").bitwiseXOR(_spread(bucket))})
     )
     third = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     lo, hi = F.col("lo"), F.col("hi")
     small = found.filter("n <= 3").select(
-        "field",
+        _field_of(bucket).alias("field"),
         F.inline(F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, hi), pair(lo, third), pair(hi, third)))),
         F.lit(False).alias("star"),
     )
     large = found.filter("n > 3").drop("all")
-    total = int(large.agg(F.sum("n")).first()[0] or 0)
+    total, buckets = large.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if total:
-        spokes = join_by_group(rows, large, ["field", "bucket"], "n", total)
-        rep = F.col("rep")
+        # few enough buckets go to the rows; else rows go to buckets, hot ones excepted
+        spokes = rows.join(F.broadcast(large), "bucket") if buckets <= FEW_BUCKETS else join_by_group(rows, large, ["bucket"], "n", int(total))
         small = small.unionByName(
-            spokes.select("field", F.inline(F.array(pair(rep, lo), pair(rep, hi))), F.lit(True).alias("star")).filter("a < b")
+            spokes.select(_field_of(bucket).alias("field"), F.inline(F.array(pair(rep, lo), pair(rep, hi))), F.lit(True).alias("star")).filter("a < b")
         )
     return small.groupBy("field", "a", "b").agg(F.max("star").alias("star"))
 
@@ -254,7 +264,7 @@ def star_links(reps: DataFrame) -> DataFrame:
     Their number grows with the number of texts, however many of them are alike.
     """
     signed = staged(reps.mapInArrow(_sign, "field string, rep long, bands array<long>, sketch binary"))
-    edges = staged(candidate_edges(signed.select("field", "rep", "bands")))
+    edges = staged(candidate_edges(signed.select("rep", "bands")))
     near = _beside(edges, signed, "sketch", ("sa", "sb")).select("field", "a", "b", "star", "sa", "sb")
     return staged(verified(staged(near.mapInArrow(_agree, "field string, a long, b long, star boolean")), reps))
 

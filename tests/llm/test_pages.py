@@ -120,12 +120,14 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_duplicates.near_duplicate_pages(pages.limit(0), reports.limit(0)).count() == 0
 
 
-def test_a_large_class_has_few_links(spark):
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_a_large_class_has_few_links(spark, monkeypatch, few):
     """A thousand texts that are all alike: links grow with the texts, not with their pairs, and all end in one class."""
     rng = random.Random(3)
     base = [f"w{i}" for i in range(80)]
     texts = [" ".join(w if k != j and k != (j * 7) % 80 else f"x{n}" for k, w in enumerate(base)) for n in range(1000) for j in [rng.randrange(80)]]
     reps = spark.createDataFrame([("html", n, t) for n, t in enumerate(texts)], "field string, rep long, words string")
+    monkeypatch.setattr(near_duplicates, "FEW_BUCKETS", few)
     links = near_duplicates.star_links(reps)
     assert links.count() < 160 * len(texts)
     labels = near_duplicates.grouped(reps.select("field", "rep"), links.filter("similarity >= 0.5").select("field", "a", "b")).collect()
