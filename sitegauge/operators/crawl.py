@@ -62,8 +62,9 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, fetched: DataFrame, max_pa
     """
     if not 1 <= max_pages <= 1000:
         raise ValueError("max_pages must be from 1 to 1000")
-    # both are read again at every depth
-    alive, edges = staged(fetched.filter("url is not null").select("url").distinct()), staged(edges)
+    # links that can be followed at all are read again at every depth
+    alive = staged(fetched.filter("url is not null").select("url").distinct())
+    edges = staged(edges.join(alive.withColumnRenamed("url", "dst"), "dst", "left_semi"))
     order = Window.partitionBy("site").orderBy("position", "url")
     first = seeds.filter("url is not null").groupBy("site", "url").agg(F.min("position").alias("position")).join(alive, "url", "left_semi")
     first = first.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= max_pages)
@@ -73,7 +74,7 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, fetched: DataFrame, max_pa
         taken = seen.all().groupBy("site").agg(F.count("*").alias("taken")).filter(F.col("taken") < max_pages)
         step = frontier.select("site", F.col("url").alias("src"), F.col("position").alias("before")).join(edges, ["site", "src"])
         new = step.groupBy("site", F.col("dst").alias("url")).agg(F.min(F.struct("before", "ordinal")).alias("place"))
-        new = new.join(seen.all().select("site", "url"), ["site", "url"], "left_anti").join(alive, "url", "left_semi")
+        new = new.join(seen.all().select("site", "url"), ["site", "url"], "left_anti")
         # the limit on the rank is applied in every task before sites meet, so a large site never gathers in one
         rank = F.row_number().over(Window.partitionBy("site").orderBy("place", "url"))
         new = new.withColumn("rank", rank).filter(F.col("rank") <= max_pages).join(taken, "site").filter(F.col("rank") + F.col("taken") <= max_pages)
