@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from sitegauge.functions.urls import file_stem
 from sitegauge.operators.rollups import words_of_key
 
+#: Titles, column names and lines of exports, and the answers to bad requests.
+PAGE_TITLE, CRAWL_TITLE = "SEO Analysis Report", "SEO Crawl Analysis Report"
+CHECK_COLUMNS = "Category,Status,Message,Value,Recommendation"
+LINK_LINES = (("Total", "Total links found", "total_links"), ("Internal", "Internal links", "internal_links"), ("External", "External links", "external_links"))
+NO_URL, BAD_LIMIT = "URL parameter is required", "maxPages must be a number between 1 and 1000"
+PRINTED_BROKEN = 10
 #: Names of the categories in exports, in order; columns of the crawl export.
 LABELS = {
     "meta": "Meta Tags", "openGraph": "Open Graph", "twitter": "Twitter", "robots": "Robots", "links": "Links", "technical": "Technical",
@@ -40,7 +46,7 @@ def crawl_file(reports: DataFrame, generated: Column) -> DataFrame:
     numbering billions of lines would take one task.
     """
     count = reports.agg(F.concat(F.lit("Total Pages,"), F.count("*").cast("string")).alias("total"))
-    head = F.array(F.lit("SEO Crawl Analysis Report"), F.col("total"), F.concat(F.lit("Generated,"), iso_time(generated)), F.lit(""), F.lit(HEADER))
+    head = F.array(F.lit(CRAWL_TITLE), F.col("total"), F.concat(F.lit("Generated,"), iso_time(generated)), F.lit(""), F.lit(HEADER))
     top = count.select(F.posexplode(head).alias("at", "line")).select((F.col("at") + 1).alias("line_no"), F.lit(None).cast("bigint").alias("report_id"), "line")
     return top.unionByName(crawl_lines(reports).select(F.lit(6).alias("line_no"), "report_id", "line"))
 
@@ -91,13 +97,13 @@ def page_file(checks: DataFrame, scores: DataFrame, counts: DataFrame, broken: D
     bad = _by_page(broken.select("page_id", "ordinal", bad.alias("line")), "ordinal", "line").withColumnRenamed("rows", "broken")
     page = scores.join(counts.drop("url"), "page_id").join(before, "page_id", "left").join(after, "page_id", "left").join(bad, "page_id", "left")
     head = [
-        F.lit("SEO Analysis Report"), F.concat(F.lit("URL,"), csv_field(F.col("url"))), F.concat(F.lit("Overall Score,"), text("score"), F.lit("/100")),
+        F.lit(PAGE_TITLE), F.concat(F.lit("URL,"), csv_field(F.col("url"))), F.concat(F.lit("Overall Score,"), text("score"), F.lit("/100")),
         F.concat(F.lit("Passed Checks,"), text("passed")), F.concat(F.lit("Warnings,"), text("warnings")), F.concat(F.lit("Failed Checks,"), text("failed")),
-        F.lit(""), F.lit("Summary"), F.lit("Category,Status,Message,Value,Recommendation"),
+        F.lit(""), F.lit("Summary"), F.lit(CHECK_COLUMNS),
     ]
     links = [
         F.concat(F.lit(f"Links - {name} Links,info,{told},"), text(c), F.lit(","))
-        for name, told, c in (("Total", "Total links found", "total_links"), ("Internal", "Internal links", "internal_links"), ("External", "External links", "external_links"))
+        for name, told, c in LINK_LINES
     ]
     none = F.array().cast("array<string>")
     part = lambda c: F.coalesce(F.transform(c, lambda x: x["line"]), none)
@@ -120,12 +126,12 @@ def page_print(checks: DataFrame, scores: DataFrame, broken: DataFrame) -> DataF
     with_titles = F.transform("rows", lambda r, i: F.concat(F.when((i == 0) | (F.get("rows", i - 1)["label"] != r["label"]), F.array(line(r["label"], lit("section")))).otherwise(none), r["lines"]))
     body = body.select("page_id", F.flatten(with_titles).alias("body"))
     bad = _by_page(broken, "ordinal", "link", "status").withColumnRenamed("rows", "broken")
-    shown = F.transform(F.slice("broken", 1, 10), lambda b: line(F.concat(lit("    - "), F.coalesce(b["link"], lit("")), lit(" ("), F.coalesce(b["status"].cast("string"), lit("none")), lit(")")), lit("fail")))
+    shown = F.transform(F.slice("broken", 1, PRINTED_BROKEN), lambda b: line(F.concat(lit("    - "), F.coalesce(b["link"], lit("")), lit(" ("), F.coalesce(b["status"].cast("string"), lit("none")), lit(")")), lit("fail")))
     count = F.array(line(F.concat(lit("  Broken Links: "), F.size("broken").cast("string")), lit("fail")))
     page = scores.join(body, "page_id", "left").join(bad, "page_id", "left")
     band = F.when(F.col("score") >= 80, "pass").when(F.col("score") >= 60, "warn").otherwise("fail")
     head = F.array(
-        line(lit("SEO Analysis Report"), lit("title")), line(F.concat(lit("URL: "), "url"), lit("link")), line(F.concat(lit("Overall SEO Score: "), text("score"), lit("/100")), band),
+        line(lit(PAGE_TITLE), lit("title")), line(F.concat(lit("URL: "), "url"), lit("link")), line(F.concat(lit("Overall SEO Score: "), text("score"), lit("/100")), band),
         line(lit("Summary"), lit("section")), *(line(F.concat(lit(f"{n}: "), text(c)), lit("text")) for n, c in (("Passed", "passed"), ("Warnings", "warnings"), ("Failed", "failed"))),
     )
     whole = F.concat(head, F.coalesce("body", none), F.when(F.size("broken") > 0, F.concat(count, shown)).otherwise(none))
@@ -143,7 +149,7 @@ def request_answer(requests: DataFrame) -> DataFrame:
     n = F.try_to_number(F.col("max_pages"), F.lit("S9999999999"))
     bad = F.col("max_pages").isNotNull() & (F.col("max_pages") != "") & F.coalesce((n < 1) | (n > 1000), F.lit(True))
     missing = F.coalesce(F.col("url") == "", F.lit(True))
-    error = F.when(missing, "URL parameter is required").when(bad, "maxPages must be a number between 1 and 1000")
+    error = F.when(missing, NO_URL).when(bad, BAD_LIMIT)
     return requests.select("url", "max_pages", F.when(error.isNull(), 200).otherwise(400).alias("http_status"), error.alias("error"))
 
 
@@ -162,7 +168,7 @@ def status_lines(reports: DataFrame) -> DataFrame:
     counts = reports.agg(F.count("*").alias("pages"), *(F.count_if(F.col("status") == s).alias(s) for s in ("pass", "warn", "fail")))
     line = lambda text, style: F.struct(text.alias("text"), F.lit(style).alias("style"))
     said = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
-    rows = F.array(line(F.lit("SEO Crawl Analysis Report"), "title"), line(said("Total Pages Analyzed", "pages"), "text"), line(F.lit("Summary"), "section"), line(said("Passed", "pass"), "pass"), line(said("Warnings", "warn"), "warn"), line(said("Failed", "fail"), "fail"), line(F.lit("Page Details"), "section"))
+    rows = F.array(line(F.lit(CRAWL_TITLE), "title"), line(said("Total Pages Analyzed", "pages"), "text"), line(F.lit("Summary"), "section"), line(said("Passed", "pass"), "pass"), line(said("Warnings", "warn"), "warn"), line(said("Failed", "fail"), "fail"), line(F.lit("Page Details"), "section"))
     return counts.select(F.posexplode(rows).alias("at", "l")).select((F.col("at") + 1).cast("bigint").alias("line_no"), "l.text", "l.style")
 
 
