@@ -3,6 +3,8 @@
 Every word of a page's main text is a node. Its score for a language sums the weights of its affixes,
 character n-grams and itself (the lexicon feature), all hashed into one table; two learned transition
 tables tie it to the word before it, one within a paragraph and one across a paragraph's edge.
+Beside them stands a lexicon: how often each word, hashed, is met under each locale language, counted over
+all pages, since no bounded sample knows the words of a table that grows.
 Forward-backward gives each word's posterior; a paragraph has the language with most posterior mass.
 
 The field is trained here, by gradient ascent on its conditional likelihood, on at most
@@ -30,6 +32,8 @@ LANGS = ("en", "de", "fr", "es", "it", "nl")
 MIN_WORDS = 40
 #: Bound of the training sample for each language, passes over it, feature table size (a power of two).
 TRAIN_PAGES, PASSES, SIZE = 100, 30, 1 << 16
+#: Lexicon: hashed words (a power of two), words a language and uses a word need to count half, greatest score, steps of a score in a byte.
+LEXICON, FEW_WORDS, FEW_USES, GREATEST, GRAIN = 1 << 20, 1000, 3.0, 5.0, 24
 #: Passes before which the sample's paragraphs take the language their words vote for.
 RELABEL = (5, 9, 13, 18)
 CHUNK = 80
@@ -42,10 +46,17 @@ class Model:
     weights: np.ndarray  # SIZE x languages
     inside: np.ndarray  # languages x languages, log scale
     across: np.ndarray
+    lexicon: np.ndarray  # LEXICON x (languages and what is left to the features), bytes
     key: int
 
     def emission(self, word: str) -> np.ndarray:
-        return self.weights[features(word)].sum(0)
+        row = self.lexicon[bucket(word)].astype(np.float32)
+        return self.weights[features(word)].sum(0) * (row[_K] / 127) + row[:_K] / GRAIN
+
+
+def bucket(word: str) -> int:
+    """Row of the lexicon for a word; digits are alike."""
+    return zlib.crc32(("0" if word.isdigit() else word).encode()) & (LEXICON - 1)
 
 
 def features(word: str) -> list[int]:
@@ -146,8 +157,30 @@ def _by_row(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, k], rows) for k in range(values.shape[1])], 1)
 
 
-def train(texts: list[tuple[list[list[str]], str]]) -> Model:
-    """Fit the field to (paragraphs as word lists, language of the page) of the sample."""
+def looked_up(lexicon: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of words by language, and the share of their features' weights that counts beside them."""
+    rows = lexicon[[bucket(w) for w in words]].astype(np.float32)
+    return rows[:, :_K] / GRAIN, rows[:, _K:] / 127
+
+
+def lexicon_of(counts: np.ndarray) -> np.ndarray:
+    """The lexicon from uses of the hashed words by language: the log of a language's share over an even share.
+
+    Rare words score near 0 and are left to their features; the more uses a word has, the less its features say, since
+    they are learned on the sample.
+    """
+    uses = counts.sum(1, keepdims=True)
+    rate = counts / (counts.sum(0) + FEW_WORDS)
+    share = rate / np.maximum(rate.sum(1, keepdims=True), 1e-30)
+    score = np.log((uses * share + FEW_USES) / (uses / _K + FEW_USES))
+    left = FEW_USES / (uses + FEW_USES)
+    return np.rint(np.concatenate([score.clip(-GREATEST, GREATEST) * GRAIN, left * 127], 1)).astype(np.int8)
+
+
+def train(texts: list[tuple[list[list[str]], str]], lexicon: np.ndarray | None = None) -> Model:
+    """Fit the field to (paragraphs as word lists, language of the page) of the sample, beside the lexicon's scores."""
+    if lexicon is None:
+        lexicon = lexicon_of(np.zeros((LEXICON, _K)))
     vocab: dict[str, int] = {}
     seqs, edges, labels = [], [], []
     for paras, lang in texts:
@@ -161,6 +194,7 @@ def train(texts: list[tuple[list[list[str]], str]]) -> Model:
     weights, trans = np.zeros((SIZE, _K)), np.zeros((2, _K, _K))
     if seqs:
         feats = [np.array(features(w)) for w in vocab]
+        known, left = looked_up(lexicon, list(vocab))
         flat, first = np.concatenate(feats), np.cumsum([0, *map(len, feats)])[:-1]
         owner = np.repeat(np.arange(len(feats)), list(map(len, feats)))
         (ids, n), (edge, _), (y, _) = _padded(seqs), _padded(edges), _padded(labels)
@@ -169,7 +203,7 @@ def train(texts: list[tuple[list[list[str]], str]]) -> Model:
         later = alive[:, 1:].ravel()
         g_w, g_t = np.full(weights.shape, 1e-6), np.full(trans.shape, 1e-6)
         for step in range(PASSES):
-            unit = np.add.reduceat(weights[flat], first, axis=0)
+            unit = np.add.reduceat(weights[flat], first, axis=0) * left + known
             if step in RELABEL:
                 vote = _by_row(para, unit[ids[alive]], int(para[-1]) + 1)
                 y[alive] = vote.argmax(1)[para]
@@ -177,7 +211,7 @@ def train(texts: list[tuple[list[list[str]], str]]) -> Model:
             diff = (np.eye(_K)[y] - post)[alive]
             cell = ((edge[:, 1:] * _K + y[:, :-1]) * _K + y[:, 1:]).ravel()[later]
             seen = np.bincount(cell, minlength=2 * _K * _K).reshape(2, _K, _K)
-            up = _by_row(ids[alive], diff, len(vocab))
+            up = _by_row(ids[alive], diff, len(vocab)) * left
             grad = _by_row(flat, up[owner], SIZE) / len(n) - 1e-4 * weights
             gt = (seen - np.stack([t_in, t_ac])) / len(n) - 1e-3 * trans
             g_w += grad**2
@@ -185,7 +219,7 @@ def train(texts: list[tuple[list[list[str]], str]]) -> Model:
             weights += 0.3 * grad / np.sqrt(g_w)
             trans += 0.2 * gt / np.sqrt(g_t)
     weights = weights.astype(np.float32)
-    return Model(weights, trans[0].astype(np.float32), trans[1].astype(np.float32), zlib.crc32(weights.tobytes()))
+    return Model(weights, trans[0].astype(np.float32), trans[1].astype(np.float32), lexicon, zlib.crc32(lexicon, zlib.crc32(weights)))
 
 
 def named_language(locale: Column) -> Column:
@@ -199,8 +233,48 @@ def _main(html: str | None) -> list[list[str]]:
     return paras if sum(map(len, paras)) >= MIN_WORDS else []
 
 
+def lexicon(pages: DataFrame, locales: DataFrame) -> np.ndarray:
+    """The lexicon of all pages whose locale names one of LANGS. Html stays in place: hashed words travel to the locales, then counts."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            ids, rows = [], []
+            for i, h in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
+                words = [w for p in _main(h) for w in p]
+                if words:
+                    for w in set(words).difference(known):
+                        known[w] = bucket(w)
+                    ids.append(i), rows.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)).tobytes())
+            if len(known) > 400_000:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["page_id", "words"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses = np.zeros(LEXICON * _K, np.int32)
+        for b in batches:
+            rows = [np.frombuffer(x, np.int32) for x in b.column("words").to_pylist()]
+            if rows:
+                lang = np.repeat(np.array([LANGS.index(x) for x in b.column("lang").to_pylist()]), list(map(len, rows)))
+                cells, n = np.unique(np.concatenate(rows) * _K + lang, return_counts=True)
+                uses[cells] += n.astype(np.int32)
+        table = uses.reshape(LEXICON, _K)
+        met = np.flatnonzero(table.any(1))
+        for start in range(0, len(met), 10_000):
+            part = met[start : start + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(table[part, k]) for k in range(_K))], ["bucket", *LANGS])
+
+    told = locales.select("page_id", named_language(F.col("locale")).alias("lang")).filter(F.col("lang").isin(*LANGS) & F.col("page_id").isNotNull()).distinct()
+    src = spread(pages.filter("page_id is not null and html is not null").select("page_id", "html"))
+    words = src.mapInArrow(coded, "page_id long, words binary").join(told, "page_id").select("words", "lang")
+    sums = words.mapInArrow(counted, ", ".join(["bucket int", *(f"{k} int" for k in LANGS)])).groupBy("bucket").agg(*(F.sum(k).cast("float").alias(k) for k in LANGS))
+    counts, met = np.zeros((LEXICON, _K)), sums.toArrow()
+    counts[met.column("bucket").to_numpy()] = np.stack([met.column(k).to_numpy() for k in LANGS], 1)
+    return lexicon_of(counts)
+
+
 def fit(pages: DataFrame, locales: DataFrame) -> Model:
-    """Train on the bounded sample of pages whose locale names one of LANGS."""
+    """Train on the bounded sample of pages whose locale names one of LANGS, beside the lexicon of all such pages."""
     told = locales.select("page_id", named_language(F.col("locale")).alias("lang")).filter("page_id is not null")
     ids = [
         told.filter(F.col("lang") == k).groupBy("page_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("page_id"), "page_id").limit(TRAIN_PAGES)
@@ -211,7 +285,7 @@ def fit(pages: DataFrame, locales: DataFrame) -> Model:
         picked = picked.unionByName(x)
     rows = pages.select("page_id", "html").filter("html is not null").join(F.broadcast(picked), "page_id").groupBy("page_id", "lang").agg(F.min("html").alias("html")).collect()
     texts = {(r.page_id, r.lang): _main(r.html) for r in sorted(rows, key=lambda r: (r.page_id, r.lang, r.html))}
-    return train([(x, lang) for (_, lang), x in texts.items() if x])
+    return train([(x, lang) for (_, lang), x in texts.items() if x], lexicon(pages, locales))
 
 
 def label_pages(pages: DataFrame, model: Model) -> DataFrame:

@@ -156,3 +156,21 @@ def test_languages(spark):
     rated = language_crf.label_pages(df, language_crf.fit(df, loc)).collect()
     assert all(0 < r.confidence <= 1.0001 for r in rated)
     assert language_crf.found(df.limit(0), loc.limit(0)).count() == 0
+
+
+def test_words_that_the_sample_lacks(spark):
+    """A hundred parts with words of their own, of which the model's sample of pages has but a few."""
+    rng = random.Random(11)
+    rows, locales, want = [], [], []
+    for part in range(100):
+        own = {k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(10)] for k in language_crf.LANGS}
+        para = lambda k, own=own: f"<p>{' '.join(rng.choices(own[k], k=30))}</p>"
+        for n, k in enumerate(language_crf.LANGS):
+            other = language_crf.LANGS[(n + 1 + part % 5) % 6]
+            for copy in range(10):
+                page = (part * 6 + n) * 10 + copy
+                rows.append((page, para(k) + para(k) + (para(other) if copy == 9 else ""), None, None))
+                locales += [(page, other if copy == 8 else k, None)] * (copy != 7)
+            want += [(page - 2, 0, k), (page - 1, 0, k), (page, 1, k), (page, 2, other)]
+    got = language_crf.found(spark.createDataFrame(rows, FETCH), spark.createDataFrame(locales, LOCALE)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
